@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import langid, media, ngram_join
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op9_media_columns": media.op9_media_columns,
 }
 SQL = {
     "op4_ngram_join": ngram_join.SQL,
