@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, media, ngram_join
+from . import langid, license_scan, media, ngram_join, suffix_dedup
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_media_columns": media.op9_media_columns,
 }
 SQL = {
