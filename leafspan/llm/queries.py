@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, media, ngram_join, suffix_dedup
+from . import langid, license_scan, media, ngram_join, pii, suffix_dedup
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op3_language_id": langid.op3_language_id,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_license_scan": license_scan.op5_license_scan,
