@@ -12,14 +12,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textscan import U64, mix
+from .textscan import U64, blocks, mix, utf8
 
+#: Rows of texts in an Arrow batch.
+ROWS = 2000
 #: Rows of two longs that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset.
+
+    Also keeps Arrow batches at ROWS rows for the session: texts are large rows.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="leafspan-")
@@ -52,8 +59,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, each: int = 8 << 20) -> int:
-    """Shuffle partitions for a table: the session's number, or more where its size asks for more."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, -(-input_bytes(df) // each)))
+    """Shuffle partitions for a table: the session's number, or more where a known size asks for more."""
+    size, own = input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own if size >= 1 << 60 else max(own, min(200_000, -(-size // each)))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -136,3 +144,11 @@ def blob_rows(key: np.ndarray, columns: list[np.ndarray], n: int):
 def unblob(blobs, width: int) -> np.ndarray:
     """Records of packed rows as an (n, width) array of int64."""
     return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, width)
+
+
+def sliced(batches, column: str, size: int = 4 << 20):
+    """The rows of Arrow batches in batches whose texts hold about ``size`` bytes, or one row with more."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(column))
+        for at, to in blocks(offsets, size):
+            yield batch.slice(at, to - at)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .common import parts, shared_dir, stage
 
-LENGTH, Q = 100, 32
+LENGTH, Q = 100, 40
 _NONE = -(1 << 63)
 _POSITION = (1 << 21) - 1
 #: Bytes scanned at once; longer texts are scanned in pieces that overlap by LENGTH - 1.
@@ -205,6 +205,27 @@ def _names(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return names[0]
 
 
+def _bundle(batches):
+    """The rows of each part and batch as one compressed Arrow stream, which takes far less room in a shuffle."""
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        part, rows = part[order], batch.select(["doc", "doc_id", "text"]).take(pa.array(order))
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        out = []
+        for s, e in zip([0, *cuts], [*cuts, len(part)]) if len(part) else ():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(rows.slice(s, e - s))
+            out.append((int(part[s]), sink.getvalue().to_pybytes()))
+        yield _batch(out)
+
+
+def _unbundle(table: pa.Table) -> pa.Table:
+    each = [pa.ipc.open_stream(b).read_all() for b in table.column("blob").to_pylist()]
+    return pa.concat_tables(each) if each else pa.table({"doc": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+
+
 def _by_document(records: np.ndarray) -> dict[int, np.ndarray]:
     records = records[np.argsort(records["doc"], kind="stable")]
     cuts = np.flatnonzero(np.diff(records["doc"])) + 1
@@ -226,9 +247,10 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     runs = docs.select(key.alias("doc"), "text").mapInArrow(scan, "part int, blob binary")
     ranges = stage(_ranges(runs, n, True), "runs")
-    placed = docs.select(_place_column(key, n).alias("part"), key.alias("doc"), "doc_id", "text")
+    placed = docs.select(_place_column(key, n).alias("part"), key.alias("doc"), "doc_id", "text").mapInArrow(_bundle, "part int, blob binary")
 
     def refine(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        texts = _unbundle(texts)
         by_doc = _by_document(_unpack(wanted.column("blob").to_pylist()))
         data, offsets = ts.utf8(texts.column("text"))
         docs_here, records, seen = texts.column("doc").to_pylist(), [np.empty(0, RECORD)], set()
@@ -247,10 +269,11 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
         return pa.Table.from_batches([_batch(list(_route(records, records["h"], n)))])
 
     wanted = ranges.where("kind = 2").select("part", "blob")
-    strings = placed.select("part", "doc", "text").groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(refine, "part int, blob binary")
+    strings = placed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(refine, "part int, blob binary")
     covered = ranges.where("kind = 1").select("part", "blob").union(_ranges(strings, n, False).where("kind = 1").select("part", "blob"))
 
     def cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        texts = _unbundle(texts)
         by_doc = _by_document(_unpack(marks.column("blob").to_pylist()))
         data, offsets = ts.utf8(texts.column("text"))
         spans, kept = [], []
