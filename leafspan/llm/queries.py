@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, media, ngram_join, pii, suffix_dedup
+from . import chat_tree, langid, license_scan, media, ngram_join, pii, suffix_dedup
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_media_columns": media.op9_media_columns,
+    "op10_chat_tree": chat_tree.op10_chat_tree,
 }
 SQL = {
     "op4_ngram_join": ngram_join.SQL,
+    "op10_chat_tree": chat_tree.SQL,
 }
