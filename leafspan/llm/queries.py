@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_tree, langid, license_scan, media, ngram_join, pii, suffix_dedup
+from . import chat_tree, decontaminate, langid, license_scan, media, ngram_join, pii, suffix_dedup
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_language_id": langid.op3_language_id,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_license_scan": license_scan.op5_license_scan,
