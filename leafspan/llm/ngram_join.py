@@ -14,10 +14,13 @@ t places at most t can miss, so some group holds k shared shingles, or a shared
 rare shingle: linked sets share an indexed key.  Keys also carry a size band, and
 a set near a band's lower end is indexed in the band below too.
 
-Postings of a key become a star around its smallest document; components of the
-stars (linear in the postings) are the only sets compared.  Within one, sets are
-verified exactly by blocked matrix products of bounded size, and only spanning
-edges leave a block, never all pairs.  Exact copies collapse to one set before.
+A key with few documents yields its pairs, less those whose sizes or parity
+bitmaps exclude a link (the bitmaps' Hamming distance never exceeds the symmetric
+difference, so no link is lost); a key with more than LIST documents becomes a
+star around its smallest, linear in the postings.  Only sets in one component of
+these edges are compared: exactly, by blocked matrix products of bounded size,
+and only spanning edges leave a block, never all pairs.  Exact copies collapse to
+one set before.
 
 Defined cases: null text, or text without words, has no shingles and links with
 nothing (component_id is its own doc_id); a text with fewer than k words is one
@@ -36,14 +39,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import blob_rows, components, grouped, parts, shared_dir, small, stage, unblob
+from .common import blob_rows, components, grouped, parts, shared_dir, sliced, small, stage, unblob
 
 #: Counters of the sketch that orders shingles; its size never grows.
 SKETCH_BITS = 20
 #: Estimated documents above which shingles are indexed in pairs, and in triples.
 FREQUENT, VERY_FREQUENT = 64, 4096
+#: Documents of a key up to which its pairs are taken; longer lists become stars.
+LIST = 32
 #: Sets, and shingles, of one block of the verification.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, k: int, text: str = "text"):
@@ -58,15 +63,17 @@ def _sets(batch: pa.RecordBatch, k: int, text: str = "text"):
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How often shingles occur, by the top bits of their hash, over all documents."""
-    per = 1 << 12
+    per = 1 << 14
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             data, offsets = ts.utf8(batch.column("text"))
-            for at, to in ts.blocks(offsets):
-                hashes, _ = ts.shingles(*ts.word_hashes(*ts.bytes_slice(data, offsets, at, to)), k)
-                total += np.bincount((hashes >> ts.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            for big, end in ts.blocks(offsets, 4 << 20):
+                found = [np.zeros(0, np.uint64)]
+                for at, to in ts.blocks(offsets[big : end + 1]):
+                    found.append(ts.shingles(*ts.word_hashes(*ts.bytes_slice(data, offsets, big + at, big + to)), k)[0])
+                total += np.bincount((np.concatenate(found) >> ts.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         rows = [(b, total[b * per : (b + 1) * per].astype("<u4").tobytes()) for b in range(len(total) // per)] if total.any() else []
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "counts"])
 
@@ -108,25 +115,37 @@ def _keys(tokens: np.ndarray, often: np.ndarray, missing: int, floor: int) -> li
     return out
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each residue of the tokens: whether an odd number of them falls there; at least two bits a token.
+
+    The halves of a bitmap, one upon the other by exclusive or, are the bitmap of half the size.
+    """
+    bits = 64 << max(0, (len(tokens) >> 5).bit_length())
+    odd = np.bincount((tokens >> ts.U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _scan(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
     """Rows with part -1: a document, its size and the hash of its set; others: packed (key, document) postings."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k).astype(np.int64))
-    schema = "part int, doc_id long, n long, s1 long, s2 long, blob binary"
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k).astype(np.uint32))
+    schema = "part int, doc_id long, n long, s1 long, s2 long, bits array<long>, blob binary"
+
+    names = ["part", "doc_id", "n", "s1", "s2", "bits", "blob"]
 
     def scan(batches):
         counts = sketch.value
         noise = int(counts.mean())
-        for batch in batches:
+        for batch in sliced(batches, "text", 8 << 20):
             ids = batch.column("doc_id").to_pylist()
-            rows, keys, owners, seen = [], [], [], set()
+            rows, keys, owners, sizes, seen = [], [], [], [], set()
             for row, tokens in _sets(batch, k):
                 n, doc = len(tokens), ids[row]
                 s1, s2 = int(np.bitwise_xor.reduce(tokens)) if n else 0, int(np.add.reduce(ts.mix(tokens))) if n else 0
-                rows.append((doc, n, s1, s2))
+                rows.append((doc, n, s1, s2, _parity(tokens)))
                 if not n or doc is None or (s1, s2, n) in seen:
                     continue
                 seen.add((s1, s2, n))
-                often = np.maximum(counts[(tokens >> ts.U64(64 - SKETCH_BITS)).astype(np.int64)] - noise, 0)
+                often = np.maximum(counts[(tokens >> ts.U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) - noise, 0)
                 order = np.lexsort((tokens, often))
                 tokens, often = tokens[order], often[order]
                 missing, band = n - -(-percent * n // 100), n.bit_length() - 1
@@ -134,28 +153,44 @@ def _scan(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
                     for key in _keys(tokens, often, missing, 1 << b):
                         keys.append(ts.mix(key + ts.U64(b)))
                         owners.append(np.full(len(key), doc, np.int64))
+                        sizes.append(np.full(len(key), n, np.int64))
             as_long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), -1, np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), as_long([r[2] for r in rows]), as_long([r[3] for r in rows]), pa.nulls(len(rows), pa.binary())], ["part", "doc_id", "n", "s1", "s2", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), -1, np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), as_long([r[2] for r in rows]), as_long([r[3] for r in rows]), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)), as_long(np.concatenate([np.zeros(0, np.uint64), *(r[4] for r in rows)]))), pa.nulls(len(rows), pa.binary())], names)
             if keys:
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                blobs = list(blob_rows(key, [key, owner], n_parts))
+                key = np.concatenate(keys)
+                blobs = list(blob_rows(key, [key, np.concatenate(owners), np.concatenate(sizes)], n_parts))
                 null = pa.nulls(len(blobs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), null, null, null, null, pa.array([b[1] for b in blobs], pa.binary())], ["part", "doc_id", "n", "s1", "s2", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), null, null, null, null, pa.nulls(len(blobs), pa.list_(pa.int64())), pa.array([b[1] for b in blobs], pa.binary())], names)
 
     return docs.mapInArrow(scan, schema)
 
 
-def _stars(postings: DataFrame) -> DataFrame:
-    """Edges from the smallest document of each key to its others."""
-    def stars(table: pa.Table) -> pa.Table:
-        rows = unblob(table.column("blob").to_pylist(), 2)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
-        hub = rows[np.flatnonzero(new)[np.cumsum(new) - 1], 1]
-        pairs = np.unique(np.stack([hub, rows[:, 1]], axis=1)[hub != rows[:, 1]], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def key_edges(postings: DataFrame, percent: int) -> DataFrame:
+    """Edges between the holders of a key; postings: packed (key, holder, size) records by part.
 
-    return postings.groupBy("part").applyInArrow(stars, "a long, b long")
+    Pairs (a < b) of short lists, star = 0, and stars around the smallest document of long ones, star = 1."""
+    def edges(table: pa.Table) -> pa.Table:
+        rows = unblob(table.column("blob").to_pylist(), 3)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        length = np.diff(np.r_[first, len(rows)])
+        out = []
+        long = length > LIST
+        hub = np.repeat(rows[first[long], 1], length[long])
+        out.append(np.stack([hub, rows[np.repeat(long, length), 1], np.ones(len(hub), np.int64)], axis=1))
+        left = np.repeat(np.where(long, 0, length), length) - (np.arange(len(rows)) - np.repeat(first, length))
+        for step in range(1, LIST):
+            at = np.flatnonzero(left > step)
+            if not len(at):
+                break
+            x, y = rows[at], rows[at + step]
+            fits = (100 * x[:, 2] >= percent * y[:, 2]) & (100 * y[:, 2] >= percent * x[:, 2])
+            out.append(np.stack([x[fits, 1], y[fits, 1], np.zeros(int(fits.sum()), np.int64)], axis=1))
+        pairs = np.concatenate(out)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "star": pa.array(pairs[:, 2])})
+
+    return postings.groupBy("part").applyInArrow(edges, "a long, b long, star long")
 
 
 def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -173,7 +208,8 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent:
         part = np.zeros((m, width), np.float32)
         part[row[s:e], column[s:e] - at] = 1
         shared += part @ part.T
-    both = shared.astype(np.int64)
+    both, sizes = shared.astype(np.int32), sizes.astype(np.int32)
+    del shared
     linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     if sides.min() != sides.max():
         linked &= sides[:, None] != sides[None, :]
@@ -190,18 +226,18 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent:
     return out
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified spanning edges within candidate components; nodes: (node, component, n), one row each."""
+def with_blocks(nodes: DataFrame) -> DataFrame:
+    """Nodes (node, component, n) with the number of blocks their component is verified in."""
     size = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    nodes = stage(nodes.join(size, "component").select("node", "component", "blocks"), "nodes")
-    texts = docs.join(small(nodes), docs.doc_id == nodes.node).select("node", "component", "blocks", "text")
+    return nodes.join(size, "component")
 
-    def sets(batches):
-        for batch in batches:
-            found = [s for _, s in _sets(batch, k)]
-            tokens = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), batch.column("blocks"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in found])].astype(np.int32)), tokens)], ["node", "component", "blocks", "tokens"])
 
+def verify_sets(sets: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    """Spanning edges (a, b) of the links within components; sets: (node, component, blocks, tokens), tokens sorted and distinct.
+
+    A component larger than a block is verified block by block and block pair by
+    block pair, each in a group of bounded size.
+    """
     def verify(batches):
         for _, slices in grouped(batches, ["component", "i", "j"]):
             table = pa.Table.from_batches(slices).combine_chunks()
@@ -213,11 +249,24 @@ def _verified(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    dealt = (texts.mapInArrow(sets, "node long, component long, blocks int, tokens array<long>").withColumn("block", block)
-             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = (sets.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "tokens"))
     keys = ["component", "i", "j"]
-    return dealt.repartition(parts(docs), *keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long")
+    return dealt.repartition(n_parts, *keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified spanning edges within candidate components; nodes: (node, component, n), one row each."""
+    nodes = stage(with_blocks(nodes).select("node", "component", "blocks"), "nodes")
+    texts = docs.join(small(nodes), docs.doc_id == nodes.node).select("node", "component", "blocks", "text")
+
+    def sets(batches):
+        for batch in sliced(batches, "text"):
+            found = [s for _, s in _sets(batch, k)]
+            tokens = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), batch.column("blocks"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in found])].astype(np.int32)), tokens)], ["node", "component", "blocks", "tokens"])
+
+    return verify_sets(texts.mapInArrow(sets, "node long, component long, blocks int, tokens array<long>"), percent, parts(docs))
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -231,11 +280,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     sets = scanned.where("part < 0").select("doc_id", "n", "s1", "s2")
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = stage(sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    edges = stage(_stars(scanned.where("part >= 0").select("part", "blob")), "stars")
+    edges = stage(key_edges(scanned.where("part >= 0").select("part", "blob"), percent), "edges")
     moved = small(stage(members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "moved"))
     for c in ("a", "b"):
-        edges = edges.join(moved, edges[c] == moved.doc_id, "left").withColumn(c, F.coalesce("rep", c)).select("a", "b")
-    candidates = components(edges)
+        edges = edges.join(moved, edges[c] == moved.doc_id, "left").withColumn(c, F.coalesce("rep", c)).select("a", "b", "star")
+    edges = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
+    bits = scanned.where("part < 0").groupBy("doc_id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.countDistinct("s1", "s2").alias("sets"))
+    x, y = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("sets").alias(f"sets{c}")) for c in "ab")
+    # sizes that may link differ by less than a factor of two, so one fold makes bitmaps equally long
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fit = lambda c, o: F.when(F.size(c) > F.size(o), half(c)).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(fit("bitsa", "bitsb"), fit("bitsb", "bitsa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    near = edges.where("star = 0").join(x, "a").join(y, "b").where((apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) | (F.col("setsa") > 1) | (F.col("setsb") > 1))
+    candidates = components(edges.where("star = 1").select("a", "b").union(near.select("a", "b")))
     sizes = members.where("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n"))
     nodes = candidates.join(sizes, candidates.node == sizes.doc_id).select("node", "component", "n")
     # rows that share a doc_id are one node, so equal sets of different nodes are links too

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_tree, decontaminate, langid, license_scan, media, ngram_join, packing, pii, suffix_dedup
+from . import chat_tree, decontaminate, langid, license_scan, media, ngram_join, packing, paragraph_dedup, pii, suffix_dedup
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_paragraph_dedup": paragraph_dedup.op6_paragraph_dedup,
     "op7_retrieval_packing": packing.op7_retrieval_packing,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_media_columns": media.op9_media_columns,
