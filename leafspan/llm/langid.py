@@ -145,7 +145,9 @@ def predict(df: DataFrame, profiles: list[tuple[str, int, int]], text_column: st
     for lang, code, rank in profiles:
         ranks[langs.index(lang), code] = rank - 1
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    df = df.select(*keys, F.col(text_column).alias("_text"))
+    # a text among the keys is not sent twice
+    text = text_column if text_column in keys else "_text"
+    df = df.select(*keys) if text_column in keys else df.select(*keys, F.col(text_column).alias("_text"))
 
     def one(symbols: np.ndarray, table: np.ndarray) -> tuple[str, float, float]:
         if not len(langs) or not symbols.any():
@@ -160,14 +162,14 @@ def predict(df: DataFrame, profiles: list[tuple[str, int, int]], text_column: st
     def guess(batches):
         table = shared.value
         for batch in batches:
-            data, offsets = ts.utf8(batch.column("_text"))
+            data, offsets = ts.utf8(batch.column(text))
             out = []
             for at, to in ts.blocks(offsets):
                 symbols, runs = _symbol_runs(*ts.bytes_slice(data, offsets, at, to))
                 out += [one(symbols[s:e], table) for s, e in zip(runs[:-1], runs[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.float64())], [*keys, "lang_pred", "score", "margin"])
 
-    own = ", ".join(f"`{k}` {t}" for k, t in df.dtypes if k != "_text")
+    own = ", ".join(f"`{k}` {t}" for k, t in df.dtypes if k in keys)
     return df.mapInArrow(guess, f"{own}, lang_pred string, score double, margin double")
 
 
