@@ -31,7 +31,7 @@ from . import textscan as ts
 from .common import shared_dir, sliced
 from .langid import code_points
 
-Q, RATE = 9, 0.1
+Q, RATE = 8, 0.1
 WHOLE, PIECE, STEP = 160, 120, 60
 #: Bytes of items indexed at once.
 ITEM_BYTES = 16 << 20
@@ -134,8 +134,8 @@ def _align(index: Index, piece: np.ndarray, region: np.ndarray) -> tuple[np.ndar
     points = np.full((len(piece), longest), -2, np.int32)
     for i, p in enumerate(piece):
         points[i, : size[i]] = index.points[p]
-    step, x = 1 << 12, np.arange(width, dtype=np.int64)
-    now = np.tile((step - 1) - x, (len(piece), 1)).astype(np.int64)
+    step, x = np.int32(1 << 12), np.arange(width, dtype=np.int32)
+    now = np.tile((step - 1) - x, (len(piece), 1)).astype(np.int32)
     best = np.full(len(piece), 1 << 40, np.int64)
     end = np.zeros(len(piece), np.int64)
     for p in range(longest):
