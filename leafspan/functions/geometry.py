@@ -57,24 +57,35 @@ def hex_colour(r, g, b) -> Column:
     return F.concat(F.lit("#"), two(r), two(g), two(b))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def accent(r, g, b) -> Column:
     """The strong colour beside a tinted box: same hue, darker, more saturated; grey stays grey."""
-    r, g, b = (col(c) / 255.0 for c in (r, g, b))
-    most, least = F.greatest(r, g, b), F.least(r, g, b)
-    light, spread = (most + least) / 2.0, most - least
-    saturation = F.when(spread == 0, 0.0).when(light <= 0.5, spread / (most + least)).otherwise(spread / (2.0 - most - least))
-    third = lambda c: (most - c) / spread
-    turn = F.when(spread == 0, 0.0).when(r == most, third(b) - third(g)).when(g == most, 2.0 + third(r) - third(b)).otherwise(4.0 + third(g) - third(r)) / 6.0
-    hue = turn - F.floor(turn)
-    new_light = F.least(light * 0.62, F.lit(0.55))
-    new_saturation = F.when(saturation <= 0, 0.0).otherwise(F.least(F.greatest(saturation * 3, F.lit(0.45)), F.lit(1.0)))
-    high = F.when(new_light <= 0.5, new_light * (1.0 + new_saturation)).otherwise(new_light + new_saturation - new_light * new_saturation)
-    low = 2.0 * new_light - high
-
-    def channel(shift: float) -> Column:
-        at = hue + shift - F.floor(hue + shift)
-        value = F.when(at < 1 / 6, low + (high - low) * at * 6.0).when(at < 0.5, high).when(at < 2 / 3, low + (high - low) * (2 / 3 - at) * 6.0).otherwise(low)
-        value = F.when(new_saturation == 0, new_light).otherwise(value)
-        return F.least(F.greatest(F.bround(value * 255.0, 0), F.lit(0.0)), F.lit(255.0)).cast("bigint")
-
-    return F.struct(channel(1 / 3).alias("r"), channel(0.0).alias("g"), channel(-1 / 3).alias("b"))
+    shares = F.struct((col(r) / 255.0).alias("r"), (col(g) / 255.0).alias("g"), (col(b) / 255.0).alias("b"))
+
+    def hls(c: Column) -> Column:
+        most, least = F.greatest(c["r"], c["g"], c["b"]), F.least(c["r"], c["g"], c["b"])
+        return let(F.struct(most.alias("most"), least.alias("least"), (most - least).alias("spread"), ((most + least) / 2.0).alias("light")), lambda m: turned(c, m))
+
+    def turned(c: Column, m: Column) -> Column:
+        third = lambda x: (m["most"] - x) / m["spread"]
+        saturation = F.when(m["spread"] == 0, 0.0).when(m["light"] <= 0.5, m["spread"] / (m["most"] + m["least"])).otherwise(m["spread"] / (2.0 - m["most"] - m["least"]))
+        turn = F.when(m["spread"] == 0, 0.0).when(c["r"] == m["most"], third(c["b"]) - third(c["g"])).when(c["g"] == m["most"], 2.0 + third(c["r"]) - third(c["b"])).otherwise(4.0 + third(c["g"]) - third(c["r"])) / 6.0
+        return let(F.struct(saturation.alias("s"), turn.alias("t"), F.least(m["light"] * 0.62, F.lit(0.55)).alias("l")), lambda v: raised(v))
+
+    def raised(v: Column) -> Column:
+        strong = F.when(v["s"] <= 0, 0.0).otherwise(F.least(F.greatest(v["s"] * 3, F.lit(0.45)), F.lit(1.0)))
+        return let(F.struct((v["t"] - F.floor(v["t"])).alias("h"), v["l"].alias("l"), strong.alias("s")), lambda w: let(
+            F.struct(w["h"].alias("h"), w["l"].alias("l"), w["s"].alias("s"), F.when(w["l"] <= 0.5, w["l"] * (1.0 + w["s"])).otherwise(w["l"] + w["s"] - w["l"] * w["s"]).alias("high")),
+            lambda z: F.struct(*(channel(z, shift).alias(name) for name, shift in (("r", 1 / 3), ("g", 0.0), ("b", -1 / 3))))))
+
+    def channel(z: Column, shift: float) -> Column:
+        high, low = z["high"], 2.0 * z["l"] - z["high"]
+        around = let(z["h"] + shift, lambda x: x - F.floor(x))
+        value = let(around, lambda at: F.when(at < 1 / 6, low + (high - low) * at * 6.0).when(at < 0.5, high).when(at < 2 / 3, low + (high - low) * (2 / 3 - at) * 6.0).otherwise(low))
+        return F.least(F.greatest(F.bround(F.when(z["s"] == 0, z["l"]).otherwise(value) * 255.0, 0), F.lit(0.0)), F.lit(255.0)).cast("bigint")
+
+    return let(shares, hls)

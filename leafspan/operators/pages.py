@@ -26,7 +26,7 @@ def fill(pages: DataFrame) -> DataFrame:
 
 def all_pages(books: DataFrame, layouts: DataFrame, book: str = "book") -> DataFrame:
     """One row for each page 0 .. n_pages - 1 of each book, with its layout where there is one; of several the last counts."""
-    wanted = books.select(book, F.explode(F.expr("sequence(0, n_pages - 1)")).cast("bigint").alias("page"))
+    wanted = books.select(book, F.explode(F.expr("sequence(0L, n_pages - 1L)")).alias("page"))
     last = layouts.groupBy(book, "page").agg(F.max_by(F.struct("has_layout", "n_blocks"), "layout_idx").alias("l")).select(book, "page", "l.*")
     return wanted.join(last, [book, "page"], "left")
 
