@@ -185,7 +185,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as pages: their lines as boxes and, shifted, as text lines."""
     items = table(spark, sf_dir, "lineitem")
     q, p = F.col("l_quantity"), F.col("l_linenumber").cast("bigint")
-    n = p * 100000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")
+    n = p * 1000000000000000 + F.col("l_partkey") * 1000000000 + F.col("l_suppkey") * 100 + q.cast("bigint")
     boxes = items.select(F.col("l_orderkey").alias("page"), n.alias("block_idx"), (q - 10 * (p % 3)).alias("x0"), (q / 2).alias("y0"), (q + 20).alias("x1"), (q / 2 + 30 - 5 * (p % 2)).alias("y1"))
     lines_ = items.select(F.col("l_orderkey").alias("page"), n.alias("line_idx"), F.concat(F.lit("line "), "l_partkey").alias("line_text"), (q - 4).alias("line_x0"), (q / 2 + 4).alias("line_y0"), (q + 14).alias("line_x1"), (q / 2 + 6).alias("line_y1"))
     return boxes, lines_
@@ -245,8 +245,8 @@ QUERIES = {f.__name__: f for f in (toc_dividers, toc_fallback, toc_mode, first_d
 _NAME = "CASE WHEN any_ = 0 THEN '본문' WHEN seen = 0 THEN '서문' ELSE nm END"
 _CT = f"WITH {BLOCKS}{_TOC}"
 _HELD = f", ch AS (SELECT book, page, dense_rank() OVER (PARTITION BY book ORDER BY seen) - 1 AS chapter, {_NAME} AS title FROM cp)"
-_BOXES = """WITH bx AS (SELECT l_orderkey AS page, l_linenumber::BIGINT * 100000000 + l_partkey * 10000 + l_suppkey AS block_idx, l_quantity - 10 * (l_linenumber % 3) AS x0, l_quantity / 2 AS y0, l_quantity + 20 AS x1, l_quantity / 2 + 30 - 5 * (l_linenumber % 2) AS y1 FROM lineitem),
-  tl AS (SELECT l_orderkey AS page, l_linenumber::BIGINT * 100000000 + l_partkey * 10000 + l_suppkey AS line_idx, 'line ' || l_partkey AS line_text, (l_quantity - 4 + l_quantity + 14) / 2 AS cx, (l_quantity / 2 + 4 + l_quantity / 2 + 6) / 2 AS cy FROM lineitem),
+_BOXES = """WITH bx AS (SELECT l_orderkey AS page, l_linenumber::BIGINT * 1000000000000000 + l_partkey * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS block_idx, l_quantity - 10 * (l_linenumber % 3) AS x0, l_quantity / 2 AS y0, l_quantity + 20 AS x1, l_quantity / 2 + 30 - 5 * (l_linenumber % 2) AS y1 FROM lineitem),
+  tl AS (SELECT l_orderkey AS page, l_linenumber::BIGINT * 1000000000000000 + l_partkey * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS line_idx, 'line ' || l_partkey AS line_text, (l_quantity - 4 + l_quantity + 14) / 2 AS cx, (l_quantity / 2 + 4 + l_quantity / 2 + 6) / 2 AS cy FROM lineitem),
   mt AS (SELECT bx.page, block_idx, line_idx, line_text, greatest(0, x1 - x0) * greatest(0, y1 - y0) AS area FROM bx JOIN tl ON bx.page = tl.page AND cx >= x0 AND cx <= x1 AND cy >= y0 AND cy <= y1)"""
 _TYPES = "['paragraph', 'heading', 'list_item', 'figure', 'caption', 'paragraph', 'footnote', 'formula']"
 SQL = {
