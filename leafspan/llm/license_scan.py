@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 _SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-_TRACE = rf"(?i)licen[cs]|copyright|copyleft|spdx|gpl|unlicense|wtfpl|public[{_SEP}]+domain|creative[{_SEP}]+commons|all[{_SEP}]+rights|cc[{_SEP}]*(?:by|0|zero)"
+_TRACE = rf"(?i)licen[cs]|copyright|copyleft|spdx|gpl|unlicense|wtfpl|public[{_SEP}]+domain|creative[{_SEP}]+commons|all[{_SEP}]+rights|cc[{_SEP}]*(?:by|0|zero)|permission[{_SEP}]+(?:is|to)|redistribut|unencumbered|proprietary|confidential|express[{_SEP}]+or[{_SEP}]+implied"
 
 #: Families: label, keyword, name as a pattern over words.
 FAMILIES = [
@@ -93,6 +93,8 @@ FORMS = [
 ]
 #: Families whose name is unmistakable also count where it stands alone.
 _ALONE = {"general", "lesser", "affero", "mozilla", "eclipse", "creative", "cc0", "unlicense", "wtfpl", "sil", "artistic"}
+#: Labels whose names with a version, or whole, count alone; with the priority of a name before "license".
+_ALONE_LABELS = {"apache-1.1", "apache-2", "public-domain"}
 #: Signatures without a family; fixed values: label, keyword, pattern, priority.
 TEXTS = [
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 4),
@@ -111,7 +113,7 @@ TEXTS = [
 def rules() -> list[tuple[int, str, str, str, int]]:
     """(order, label, keyword, pattern, priority); the pattern starts and ends at word edges."""
     found = [(label, keyword, form.format(f"(?:{name})"), priority) for form, priority in FORMS for label, keyword, name in FAMILIES]
-    found += [(label, keyword, name, 1) for label, keyword, name in FAMILIES if keyword in _ALONE]
+    found += [(label, keyword, name, 2 if label in _ALONE_LABELS else 1) for label, keyword, name in FAMILIES if keyword in _ALONE or label in _ALONE_LABELS]
     return [(i, label, f" {keyword}", f"(?<= )(?:{pattern})(?= )", priority) for i, (label, keyword, pattern, priority) in enumerate([*TEXTS, *found])]
 
 

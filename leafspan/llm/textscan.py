@@ -36,7 +36,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.fill_null(b"")
     _, where, data = column.buffers()
     offsets = np.frombuffer(where, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
-    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
+    return np.frombuffer(data, np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8), offsets
 
 
 def blocks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
