@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_tree, decontaminate, langid, license_scan, media, ngram_join, packing, paragraph_dedup, pii, suffix_dedup
+from . import chat_tree, decontaminate, langid, license_scan, media, ngram_join, packing, paragraph_dedup, pii, scan_sql, suffix_dedup
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -18,5 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op4_ngram_join": ngram_join.SQL,
+    "op5_license_scan": scan_sql.license_scan(),
+    "op8_suffix_dedup": scan_sql.SUFFIX_DEDUP,
     "op10_chat_tree": chat_tree.SQL,
 }

@@ -145,10 +145,6 @@ def test_escapes_come_back():
         assert chat_tree.parse("".join(chat_tree.format_turn(*t)[0] for t in turns)) == turns
 
 
-def test_chat_query_equals_sql(spark, same):
-    assert same(chat_tree.op10_chat_tree(spark, DATA), chat_tree.SQL) > 1
-
-
 CHAT = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", "why"), (3, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (5, 0, "tool", None), (5, 1, None, "x"), (6, 0, "user", "a"), (6, 0, "user", "a"), (None, 2, "assistant", ""), (None, None, "user", "q")]
 KIND = "conv_id long, turn long, role string, text string, leaf string, tree int, paths string"
 

@@ -2,8 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
-from leafspan.llm import common, ngram_join
+from leafspan.llm import common, ngram_join, queries
 from tests.llm.conftest import union_find, words
 
 
@@ -100,8 +101,9 @@ def test_defined_cases(edges, edge_rows, empty):
     assert ngram_join.ngram_jaccard_join(empty, 3, 90).count() == 0
 
 
-def test_query_equals_sql(spark, same):
-    assert same(ngram_join.op4_ngram_join(spark, "/root/testdata/sf0.001"), ngram_join.SQL)
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, same, name):
+    assert same(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), queries.SQL[name]) > 1
 
 
 def test_components(spark):
