@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import grouped, parts, shared_dir, small, stage
 
 #: Conversations of one tree at most.
-TREE = 1024
+TREE = 256
 #: What opens and closes a turn; fixed values.
 MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>>\n", "\n<</SYS>>\n"), "assistant": (" ", " </s>")}
 _CONTROL = re.compile(r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE:|\[/ROLE\]")
