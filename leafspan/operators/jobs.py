@@ -50,3 +50,17 @@ def call_outcome(status: Column, good_body: Column, attempt: Column, attempts: i
     """What follows a call: done, retry, or fail; network errors have no status."""
     again = status.isNull() | (status == 429) | (status >= 500) | ((status == 200) & ~good_body)
     return F.when((status == 200) & good_body, "done").when(again & (attempt < attempts), "retry").otherwise("fail")
+
+
+#: States that may follow each other; fixed values.
+TRANSITIONS = {("pending", "processing"), ("processing", "processing"), ("processing", "done"), ("processing", "failed")}
+
+
+def transitions(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """How often each state followed each other one, and whether a job may do that."""
+    before = F.lag("status").over(Window.partitionBy(key).orderBy(*order))
+    pairs = rows.withColumn("before", before).where("before is not null").groupBy("before", "status").agg(F.count("*").alias("n"))
+    allowed = F.lit(False)
+    for a, b in sorted(TRANSITIONS):
+        allowed = allowed | ((F.col("before") == a) & (F.col("status") == b))
+    return pairs.withColumn("allowed", allowed)

@@ -9,8 +9,9 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import pages as P
+from ..operators import reconstruct as reconstruction
 from ..operators import refine as R
-from ..operators import runs, spatial, toc
+from ..operators import render, runs, spatial, toc
 from . import sqltext as Q
 from .tables import BLOCKS, LINES, PAGES, blocks, lines, pages, table
 
@@ -239,8 +240,36 @@ def chapter_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("book", "chapter", "title").agg(body.alias("body"))
 
 
+def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation as the blocks of a page, rendered."""
+    rows = table(spark, sf_dir, "conversations").join(_coloured(spark, sf_dir).select("conv_id", F.explode("blocks").alias("b")).select("conv_id", F.col("b.turn").alias("turn"), "b.block_type", "b.bg", "b.filled"), ["conv_id", "turn"])
+    text = F.when(F.col("block_type") == "list_item", F.concat(F.col("turn") + 3, F.lit(". "), F.replace("text", F.lit("\n"), F.lit("\n- ")))).otherwise(F.col("text"))
+    block = F.struct("turn", "block_type", text.alias("text"), (F.col("turn") % 4).cast("int").alias("level"), F.when((F.col("block_type") == "figure") & F.col("filled"), F.format_string("img_%02d.png", "turn")).alias("image_path"), "bg")
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks")).select("conv_id", render.render_page(F.col("blocks")).alias("html"))
+
+
+def _book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = blocks(spark, sf_dir).withColumns({"image_path": F.lit(None).cast("string"), "bg": F.when(F.col("idx") % 4 == 1, F.struct(F.lit(200).alias("r"), F.lit(215).alias("g"), F.lit(230).alias("b")))})
+    return reconstruction.reconstruct(found, _facts(spark, sf_dir), _marks(spark, sf_dir))
+
+
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from blocks to chapters."""
+    return _book(spark, sf_dir)[0]
+
+
+def reconstruct_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book(spark, sf_dir)[1]
+
+
+def book_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books whose first page begins with a picture."""
+    found = blocks(spark, sf_dir).selectExpr("book", "page", "idx", "CASE WHEN idx = 0 AND book % 2 = 0 THEN 'figure' ELSE block_type END AS block_type", "CASE WHEN idx = 0 AND book % 4 = 0 THEN concat('cover-', book, '.png') END AS image_path")
+    return render.covers(found, toc.chapters(toc.contents(blocks(spark, sf_dir)), pages(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (toc_dividers, toc_fallback, toc_mode, first_divider, chapters, chapter_pages, page_route, fill_pages, replace_cover, replace_front, replace_design, raw_json_blocks, block_typing, type_histogram,
-                                   refine_text, refined_count, tint_runs, caption_pairs, line_owner, line_match_all, block_order, bbox_scale, chunk_rebase, page_ranges, pipeline_summary, chapter_xhtml)}
+                                   refine_text, refined_count, tint_runs, caption_pairs, line_owner, line_match_all, block_order, bbox_scale, chunk_rebase, page_ranges, pipeline_summary, chapter_xhtml, render_pages, reconstruct, reconstruct_summary, book_cover)}
 
 _NAME = "CASE WHEN any_ = 0 THEN '본문' WHEN seen = 0 THEN '서문' ELSE nm END"
 _CT = f"WITH {BLOCKS}{_TOC}"
@@ -287,6 +316,7 @@ SQL = {
     "chunk_rebase": "SELECT doc_id // 40 AS chunk, min(doc_id // 40 * 40 + doc_id % 40) AS first_page, max(doc_id // 40 * 40 + doc_id % 40) AS last_page, round(CAST(sum(octet_length(encode(text))) AS DOUBLE) * 4 / 3 / 1048576, 6) AS mb FROM documents GROUP BY 1",
     "page_ranges": "WITH s AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 7 AS b FROM documents UNION ALL SELECT doc_id, doc_id % 50, doc_id % 50 + 6 FROM documents UNION ALL SELECT doc_id, doc_id % 60 + 1, doc_id % 60 + 1 FROM documents) SELECT DISTINCT doc_id, p - 1 AS page FROM (SELECT doc_id, unnest(range(greatest(a, 1), least(b, 50) + 1)) AS p FROM s)",
     "pipeline_summary": f"{_CT}, n AS (SELECT book, length({Q.strip('text')}) AS n FROM pg), g AS (SELECT book, count(*) AS n_pages, avg(n) < 50 AS ocr_needed FROM n GROUP BY book), e AS (SELECT book, count(*) AS c FROM hc GROUP BY book) SELECT g.book, n_pages, ocr_needed, coalesce(c, 0) AS toc_count, round(n_pages * 0.004::DOUBLE, 6) AS cost FROM g LEFT JOIN e ON e.book = g.book",
+    "book_cover": "SELECT doc_id // 50 AS book, 'cover-' || doc_id // 50 || '.png' AS image_path FROM documents WHERE doc_id % 50 = 0 AND doc_id // 50 % 4 = 0",
     "chapter_xhtml": f"""{_CT}, ct AS (SELECT book, page, title FROM hc){_CHAPTERS}{_HELD}, x AS (SELECT book, page, idx, CASE WHEN block_type = 'heading' THEN '<' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' || {Q.xhtml(Q.strip('text'))} || '</' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' ELSE '<p>' || {Q.xhtml(Q.merged('text'))} || '</p>' END AS html FROM bl WHERE {Q.strip('text')} <> '')
         SELECT ch.book, chapter, title, string_agg(html, chr(10) ORDER BY x.page, idx) AS body FROM x JOIN ch ON ch.book = x.book AND ch.page = x.page GROUP BY 1, 2, 3""",
 }

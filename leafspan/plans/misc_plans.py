@@ -39,6 +39,10 @@ def admit_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.admit(uploads, now, "user_id").select("c_custkey", "user_id", "filename")
 
 
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.transitions(_progress(spark, sf_dir), "user_id", "ts", "event_id")
+
+
 def job_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _progress(spark, sf_dir).selectExpr("event_id", "progress", "repeat(stage, 9) AS stage", "CASE WHEN event_id % 3 = 0 THEN '' ELSE message END AS message", "repeat(props, 300) AS error", "repeat(stage, 50) AS title", "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' ELSE repeat('10.0.0.1 ', 9) END AS client_ip")
     return J.clamp_fields(rows)
@@ -112,15 +116,15 @@ def frame_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epub_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each book as an EPUB file: its size and the number of its chapters."""
+    """Each reconstructed book as an EPUB file: its size and the number of its chapters."""
     from ..sources import epub
     from . import book_plans
 
-    files = epub.build(book_plans.chapter_xhtml(spark, sf_dir))
+    files = epub.build(book_plans.reconstruct(spark, sf_dir))
     return files.select("book", "n_chapters", F.length("epub").cast("bigint").alias("n_bytes"), (F.substring("epub", 1, 2) == F.lit(b"PK")).alias("is_zip"))
 
 
-QUERIES = {f.__name__: f for f in (latest_progress, progress_changes, active_jobs, admit_uploads, job_fields, job_states, sessions_stream, blank_ink_chroma, bg_colour, content_bbox, frame_ops, epub_zip)}
+QUERIES = {f.__name__: f for f in (latest_progress, progress_changes, active_jobs, admit_uploads, job_transitions, job_fields, job_states, sessions_stream, blank_ink_chroma, bg_colour, content_bbox, frame_ops, epub_zip)}
 
 _PR = f"WITH pr AS (SELECT event_id, user_id, ts, event_type AS stage, CAST(floor(value * 3) AS BIGINT) - 20 AS progress, {_STATUS} AS status, repeat(event_type || ' ' || event_id || ' ', 20) AS message, props FROM events)"
 _NOW = _PR + ", nw AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM pr)"
@@ -133,6 +137,8 @@ SQL = {
     "active_jobs": _NOW + " SELECT user_id FROM nw WHERE rn = 1 AND status IN ('pending', 'processing')",
     "admit_uploads": _NOW + """, u AS (SELECT c_custkey, c_custkey % 400 AS user_id, c_name || CASE c_custkey % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' ELSE '.pdf' END AS filename, c_custkey * 300000 AS size FROM customer)
         SELECT c_custkey, user_id, filename FROM u WHERE lower(filename) LIKE '%.pdf' AND size <= 209715200 AND user_id NOT IN (SELECT user_id FROM nw WHERE rn = 1 AND status IN ('pending', 'processing'))""",
+    "job_transitions": _PR + """, l AS (SELECT status, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM pr)
+        SELECT before, status, count(*) AS n, (before = 'pending' AND status = 'processing') OR (before = 'processing' AND status IN ('processing', 'done', 'failed')) AS allowed FROM l WHERE before IS NOT NULL GROUP BY 1, 2""",
     "job_fields": _PR + """ SELECT event_id, greatest(0, least(100, progress)) AS progress, substring(repeat(stage, 9), 1, 32) AS stage, CASE WHEN event_id % 3 <> 0 THEN substring(message, 1, 256) END AS message, substring(repeat(props, 300), 1, 2000) AS error, substring(repeat(stage, 50), 1, 256) AS title,
         CASE WHEN event_id % 5 < 2 THEN 'unknown' ELSE substring(repeat('10.0.0.1 ', 9), 1, 64) END AS client_ip FROM pr""",
     "job_states": _PR + """ SELECT event_id, CAST(CASE WHEN event_id % 7 = 0 THEN 404 WHEN status <> 'done' THEN 409 WHEN event_id % 5 = 0 THEN 410 ELSE 200 END AS BIGINT) AS download,

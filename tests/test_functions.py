@@ -195,3 +195,50 @@ def test_recorded_pages(spark, tmp_path):
     rows = readers.recorded_pages(spark, str(tmp_path))
     found = blocks.blocks_from_pages(rows, F.col("page"), ("model",)).orderBy("raw_idx").collect()
     assert [(r.page, r.block_type, r.text, r.level, r.x0, r.x1) for r in found] == [(1, "heading", "Ti", 1, 1.0, 3.0), (1, "paragraph", "IP", 0, 0.0, 0.0)]
+
+
+def _html(spark, *rows):
+    from leafspan.operators import render
+
+    kind = "blocks array<struct<block_type:string,text:string,level:int,image_path:string,bg:struct<r:int,g:int,b:int>>>"
+    full = [(t, x, 1, im, bg) for t, x, im, bg in ((*r, *[None] * 4)[:4] for r in rows)]
+    return spark.createDataFrame([(full,)], kind).select(render.render_page(F.col("blocks")).alias("h")).first()["h"]
+
+
+def test_render_lists_span_blocks_and_flip(spark):
+    assert _html(spark, ("list_item", "7. a\n\n8. b"), ("list_item", "9. **c**"), ("list_item", "- d")) == '<ol start="7">\n<li>a</li>\n<li>b</li>\n<li><strong>c</strong></li>\n</ol>\n<ul>\n<li>d</li>\n</ul>'
+    assert _html(spark, ("list_item", "- a"), ("page_header", "x"), ("list_item", "- b")).count("<ul>") == 2
+
+
+def test_render_captions(spark):
+    assert _html(spark, ("figure", None, "f.png"), ("caption", "c\nd")) == '<figure class="figure"><img src="images/f.png" alt="그림"/><figcaption>c d</figcaption></figure>'
+    assert _html(spark, ("caption", "c"), ("code", "x < 1")) == '<figure class="listing"><figcaption>c</figcaption><pre><code>x &lt; 1</code></pre></figure>'
+    assert _html(spark, ("caption", "c"), ("table", "| a |\n|---|\n| b |")) == "<table><caption>c</caption><tr><th>a</th></tr><tr><td>b</td></tr></table>"
+    assert _html(spark, ("figure", None), ("caption", "c")) == '<p class="caption">c</p>'
+    assert _html(spark, ("caption", "c"), ("table", "x", "t.png")) == '<table><caption>c</caption><tr><td><img src="images/t.png" alt="표"/></td></tr></table>'
+
+
+def test_render_tints_cut_pairs_and_lists(spark):
+    tint = (200, 210, 220)
+    html = _html(spark, ("figure", None, "f.png"), ("caption", "c", None, tint), ("list_item", "- a", None, tint), ("list_item", "- b"), ("paragraph", ""))
+    assert html.split("\n") == ['<figure class="figure"><img src="images/f.png" alt="그림"/></figure>', '<aside class="tinted" style="background-color:#c8d2dc;border-left-color:#2f82d5">', '<p class="caption">c</p>', "<ul>", "<li>a</li>", "</ul>", "</aside>", "<ul>", "<li>b</li>", "</ul>"]
+    assert "tinted" not in _html(spark, ("paragraph", "a", None, tint), ("paragraph", "b", None, tint))
+
+
+def test_render_other_blocks(spark):
+    assert _html(spark, ("heading", "T *x*"), ("aside", "m"), ("footnote", "n\no"), ("formula", None, "q.png"), ("page_footer", "9")) == '<h1>T <em>x</em></h1>\n<aside class="memo">\n<p>m</p>\n</aside>\n<div class="footnote"><p>n o</p></div>\n<div class="formula"><img src="images/q.png" alt="수식"/></div>'
+
+
+def test_reconstruction_keeps_the_order_of_its_steps(spark):
+    from leafspan.operators import reconstruct
+
+    rows = [(1, 0, 0, "paragraph", "imprint"), (1, 1, 0, "heading", "1장"), (1, 1, 1, "heading", "Start"), (1, 2, 0, "paragraph", "body"), (1, 4, 0, "paragraph", "end")]
+    blocks_ = spark.createDataFrame([(*r, 0, None, None) for r in rows], "book long, page long, idx long, block_type string, text string, level long, image_path string, bg struct<r:int,g:int,b:int>")
+    facts = spark.createDataFrame([(1, 0, True, 1, False, True, False, 0.1), (1, 1, True, 2, False, True, False, 0.9), (1, 2, True, 1, False, True, False, 0.1), (1, 3, False, 0, False, True, True, 0.0), (1, 4, True, 1, False, True, False, 0.1), (1, 5, False, 0, False, True, False, 0.2)], "book long, page long, has_layout boolean, n_blocks long, single_figure boolean, has_image boolean, blank boolean, ink double")
+    made, summary = reconstruct.reconstruct(blocks_, facts)
+    found = {r.title: r.body for r in made.collect()}
+    assert set(found) == {toc.FRONT, "1장 Start"}  # the divider page named the chapter before it became a picture
+    assert "page_0000_full.png" in found[toc.FRONT] and "imprint" not in found[toc.FRONT]
+    body = found["1장 Start"]
+    assert body.index("page_0001_full.png") < body.index("<p>body</p>") < body.index("<p>end</p>") < body.index("page_0005_full.png") and "page_0003" not in body
+    assert tuple(summary.first()) == (1, 6, 1)
