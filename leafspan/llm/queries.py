@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_tree": chat_tree.op10_chat_tree,
 }
 SQL = {
+    "op3_language_id": scan_sql.language_id(),
     "op4_ngram_join": ngram_join.SQL,
     "op5_license_scan": scan_sql.license_scan(),
     "op8_suffix_dedup": scan_sql.SUFFIX_DEDUP,

@@ -1,7 +1,8 @@
-"""SQL for the comparison engine: what the license scan and the substring deduplication return."""
+"""SQL for the comparison engine: what language identification, the license scan and the substring deduplication return."""
 
 from __future__ import annotations
 
+from .langid import _OTHER, ACCENTED, PROFILE
 from .license_scan import BASE, rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,3 +54,23 @@ t AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM t GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
+
+
+def language_id() -> str:
+    crc = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT), lambda a, b: list_reduce(range(8)::BIGINT[], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, {crc} % 4 = 2 AS held_out, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS ch FROM (SELECT doc_id, string_split(text, '') AS a FROM d WHERE text <> '')),
+y AS (SELECT doc_id, i, CASE WHEN NOT regexp_matches(ch, '^\p{{L}}') THEN 0 WHEN instr('abcdefghijklmnopqrstuvwxyz{ACCENTED}', lower(ch)) > 0 THEN instr('abcdefghijklmnopqrstuvwxyz{ACCENTED}', lower(ch)) ELSE 63 - (unicode(lower(ch)) >> 7) % {_OTHER} END AS s FROM c),
+k AS (SELECT doc_id, i, s FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM y) WHERE s > 0 OR before > 0),
+n AS (SELECT doc_id, s, coalesce(lag(s) OVER w, 0) AS p, coalesce(lead(s) OVER w, 0) AS q, lead(s) OVER w IS NULL AS ends FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, s AS code FROM n WHERE s > 0 UNION ALL SELECT doc_id, 64 + p * 64 + s FROM n WHERE p * 64 + s > 0 UNION ALL SELECT doc_id, 64 + s * 64 FROM n WHERE ends AND s > 0 UNION ALL SELECT doc_id, 4160 + (p * 64 + s) * 64 + q FROM n WHERE s > 0),
+f AS (SELECT doc_id, code, count(*) AS n FROM g GROUP BY 1, 2),
+t AS (SELECT * FROM (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS r FROM f) WHERE r < {PROFILE}),
+l AS (SELECT lang, code, sum(n) AS n FROM f JOIN d ON d.doc_id = f.doc_id WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT * FROM (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS r FROM l) WHERE r < {PROFILE}),
+a AS (SELECT t.doc_id, v.lang, sum(CASE WHEN o.r IS NULL THEN {PROFILE} ELSE abs(o.r - t.r) END) AS away, count(*) * {PROFILE} AS most FROM t CROSS JOIN (SELECT DISTINCT lang FROM o) v LEFT JOIN o ON o.lang = v.lang AND o.code = t.code GROUP BY 1, 2),
+b AS (SELECT doc_id, lang, away::DOUBLE AS away, most::DOUBLE AS most, row_number() OVER w AS rn, lead(away) OVER w AS other FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY away, lang))
+SELECT d.doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, CASE WHEN b.lang IS NULL THEN 0::DOUBLE ELSE 1 - away / most END AS score, CASE WHEN b.lang IS NULL THEN 0::DOUBLE WHEN other IS NULL THEN 1::DOUBLE ELSE (other - away) / most END AS margin
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id AND rn = 1
+"""
