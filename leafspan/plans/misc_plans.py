@@ -143,6 +143,9 @@ SQL = {
         CASE WHEN event_id % 5 < 2 THEN 'unknown' ELSE substring(repeat('10.0.0.1 ', 9), 1, 64) END AS client_ip FROM pr""",
     "job_states": _PR + """ SELECT event_id, CAST(CASE WHEN event_id % 7 = 0 THEN 404 WHEN status <> 'done' THEN 409 WHEN event_id % 5 = 0 THEN 410 ELSE 200 END AS BIGINT) AS download,
         CASE WHEN event_id % 6 = 1 THEN 'done' WHEN event_id % 6 <> 4 AND event_id % 3 + 1 < 3 THEN 'retry' ELSE 'fail' END AS call, 20 + CAST(trunc((event_id % 40 + 1) / 40.0::DOUBLE * 55) AS BIGINT) AS percent FROM pr""",
+    "sessions_stream": """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 6) AS value FROM s GROUP BY user_id, k)
+        SELECT * FROM g WHERE "end" <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""",
     "blank_ink_chroma": _PX + """, s AS (SELECT vec_id, greatest(stddev_pop(r), stddev_pop(g), stddev_pop(b)) AS d, avg(CASE WHEN least(r, g, b) < 235 THEN 1.0::DOUBLE ELSE 0 END) AS ink, avg(CASE WHEN greatest(r, g, b) - least(r, g, b) >= 25 THEN 1.0::DOUBLE ELSE 0 END) AS chroma FROM px GROUP BY vec_id)
         SELECT vec_id, round(d, 6) AS deviation, d < 8 AS blank, round(ink, 6) AS ink, round(chroma, 6) AS chroma FROM s""",
     "bg_colour": _PX + """, s AS (SELECT vec_id, count(*) AS n, count(*) FILTER (least(r, g, b) > 180) AS k, median(r) FILTER (least(r, g, b) > 180) AS r, median(g) FILTER (least(r, g, b) > 180) AS g, median(b) FILTER (least(r, g, b) > 180) AS b FROM px GROUP BY vec_id),

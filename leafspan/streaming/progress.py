@@ -37,4 +37,5 @@ def run_sessions(spark: SparkSession, path: str) -> DataFrame:
     query = sessions(stream).writeStream.outputMode("append").format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.schema("user_id long, start timestamp, end timestamp, n long, value double").parquet(f"{home}/out")
-    return found.select("user_id", "start", "end", "n", F.round("value", 6).alias("value"))
+    local = lambda c: F.col(c).cast("timestamp_ntz").alias(c)  # noqa: E731  back to the table's local times
+    return found.select("user_id", local("start"), local("end"), "n", F.round("value", 6).alias("value"))
