@@ -48,8 +48,8 @@ def unstage(*tables: DataFrame) -> None:
     for table in tables:
         spark = table.sparkSession
         for folder in {os.path.dirname(f) for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             if "/stage-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
@@ -81,12 +81,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         # in e, a > b always
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        # staged, so that both sides of the join are shuffled for it alone and a hot node can be split
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")), "least")
+        used.append(least)
         linked = both.join(least, "a")
         if large:
             return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
 
+    used: list[DataFrame] = []
     now = stage(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     for _ in range(rounds):
         # settled: every node has one parent and no parent has a parent
@@ -94,8 +97,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         deep = now.select("b").distinct().join(now.select("a").distinct(), F.col("a") == F.col("b"), "left_semi").limit(1)
         if not many.select(F.lit(1)).union(deep.select(F.lit(1))).take(1):
             break
-        after = stage(star(star(now, True), False), "edges")
-        unstage(now)
+        large = stage(star(now, True), "edges")
+        after = stage(star(large, False), "edges")
+        unstage(now, large, *used)
+        used.clear()
         now = after
     else:
         raise RuntimeError("components did not settle")

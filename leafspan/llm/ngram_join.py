@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import blob_rows, components, grouped, parts, shared_dir, sliced, small, stage, unblob
+from .common import blob_rows, components, grouped, parts, shared_dir, sliced, small, stage, unblob, unstage
 
 #: Counters of the sketch that orders shingles; its size never grows.
 SKETCH_BITS = 20
@@ -128,23 +128,23 @@ def _parity(tokens: np.ndarray) -> np.ndarray:
 def _scan(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
     """Rows with part -1: a document, its size and the hash of its set; others: packed (key, document) postings."""
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k).astype(np.uint32))
-    schema = "part int, doc_id long, n long, s1 long, s2 long, bits array<long>, blob binary"
+    schema = "part int, doc_id long, n long, s1 long, s2 long, leader long, bits array<long>, blob binary"
 
-    names = ["part", "doc_id", "n", "s1", "s2", "bits", "blob"]
+    names = ["part", "doc_id", "n", "s1", "s2", "leader", "bits", "blob"]
 
     def scan(batches):
         counts = sketch.value
         noise = int(counts.mean())
         for batch in sliced(batches, "text", 8 << 20):
             ids = batch.column("doc_id").to_pylist()
-            rows, keys, owners, sizes, seen = [], [], [], [], set()
+            rows, keys, owners, sizes, seen = [], [], [], [], {}
             for row, tokens in _sets(batch, k):
                 n, doc = len(tokens), ids[row]
                 s1, s2 = int(np.bitwise_xor.reduce(tokens)) if n else 0, int(np.add.reduce(ts.mix(tokens))) if n else 0
                 rows.append((doc, n, s1, s2, _parity(tokens)))
                 if not n or doc is None or (s1, s2, n) in seen:
                     continue
-                seen.add((s1, s2, n))
+                seen[s1, s2, n] = doc
                 often = np.maximum(counts[(tokens >> ts.U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) - noise, 0)
                 order = np.lexsort((tokens, often))
                 tokens, often = tokens[order], often[order]
@@ -155,12 +155,12 @@ def _scan(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
                         owners.append(np.full(len(key), doc, np.int64))
                         sizes.append(np.full(len(key), n, np.int64))
             as_long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), -1, np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), as_long([r[2] for r in rows]), as_long([r[3] for r in rows]), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)), as_long(np.concatenate([np.zeros(0, np.uint64), *(r[4] for r in rows)]))), pa.nulls(len(rows), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), -1, np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), as_long([r[2] for r in rows]), as_long([r[3] for r in rows]), pa.array([seen.get((r[2], r[3], r[1]), r[0]) for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)), as_long(np.concatenate([np.zeros(0, np.uint64), *(r[4] for r in rows)]))), pa.nulls(len(rows), pa.binary())], names)
             if keys:
                 key = np.concatenate(keys)
                 blobs = list(blob_rows(key, [key, np.concatenate(owners), np.concatenate(sizes)], n_parts))
                 null = pa.nulls(len(blobs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), null, null, null, null, pa.nulls(len(blobs), pa.list_(pa.int64())), pa.array([b[1] for b in blobs], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), null, null, null, null, null, pa.nulls(len(blobs), pa.list_(pa.int64())), pa.array([b[1] for b in blobs], pa.binary())], names)
 
     return docs.mapInArrow(scan, schema)
 
@@ -229,7 +229,8 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent:
 def with_blocks(nodes: DataFrame) -> DataFrame:
     """Nodes (node, component, n) with the number of blocks their component is verified in."""
     size = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    return nodes.join(size, "component")
+    # staged, so that the join on a large component can be split
+    return nodes.join(stage(size, "sizes"), "component")
 
 
 def verify_sets(sets: DataFrame, percent: int, n_parts: int) -> DataFrame:
@@ -277,13 +278,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     shared_dir(docs.sparkSession)
     n_parts = parts(docs, 4 << 20)
     scanned = stage(_scan(docs, k, percent, n_parts), "scan")
-    sets = scanned.where("part < 0").select("doc_id", "n", "s1", "s2")
-    classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = stage(sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    edges = stage(key_edges(scanned.where("part >= 0").select("part", "blob"), percent), "edges")
-    moved = small(stage(members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "moved"))
+    # equal sets of a batch follow its leader, and leaders the first of them: no step meets all copies of a set at once
+    sets = scanned.where("part < 0").select("doc_id", "n", "s1", "s2", "leader")
+    leaders = sets.where("n > 0 and leader = doc_id").select("leader", "n", "s1", "s2").distinct()
+    classes = stage(leaders.groupBy("n", "s1", "s2").agg(F.min("leader").alias("rep")), "classes")
+    reps = stage(leaders.join(classes, ["n", "s1", "s2"]).select("leader", "n", "s1", "s2", "rep"), "reps")
+    led = sets.where("leader is not null").join(reps, ["leader", "n", "s1", "s2"], "left")
+    alone = sets.where("leader is null").join(classes, ["n", "s1", "s2"], "left")
+    members = stage(led.select("doc_id", "n", "rep").union(alone.select("doc_id", "n", "rep")).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    starred = edges = stage(key_edges(scanned.where("part >= 0").select("part", "blob"), percent), "edges")
+    moved = stage(members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "moved")
+    hinted = small(moved)
     for c in ("a", "b"):
-        edges = edges.join(moved, edges[c] == moved.doc_id, "left").withColumn(c, F.coalesce("rep", c)).select("a", "b", "star")
+        edges = edges.join(hinted, edges[c] == hinted.doc_id, "left").withColumn(c, F.coalesce("rep", c)).select("a", "b", "star")
     edges = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
     bits = scanned.where("part < 0").groupBy("doc_id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.countDistinct("s1", "s2").alias("sets"))
     x, y = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("sets").alias(f"sets{c}")) for c in "ab")
@@ -299,6 +306,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     same = members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = members.groupBy("doc_id").agg(F.countDistinct("rep").alias("reps")).where("reps > 1").select("doc_id")
     found = components(_verified(docs, nodes, k, percent).union(same.join(repeated, same.a == repeated.doc_id, "left_semi")))
+    unstage(scanned, classes, reps, starred, moved)
     return (members.join(found, members.rep == found.node, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
 
