@@ -4,10 +4,12 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from leafspan.llm import paragraph_dedup as pd6
 from leafspan.llm import suffix_dedup as sd
+from leafspan.llm import textscan as ts
 from tests.llm.conftest import union_find, words
 
 
@@ -64,19 +66,18 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
 def paragraphs(text):
+    """Spans and words of the paragraphs of a text, cut word by word."""
     out = []
     for m in re.finditer(r"[^\n]+", text or ""):
-        spans, i = [(x.start() + m.start(), x.end() + m.start()) for x in WORD.finditer(m.group())], 0
-        while i < len(spans):
-            j = i + pd6.PARAGRAPH - 1
-            while j < len(spans) and text[spans[j][1] - 1] not in ".!?":
-                j += 1
-            j = min(j, len(spans) - 1)
-            if len(spans) - 1 - j < pd6.PARAGRAPH:
-                j = len(spans) - 1
-            if j - i + 1 >= pd6.PARAGRAPH:
-                out.append((spans[i][0], spans[j][1], j - i + 1))
-            i = j + 1
+        spans = [(x.start() + m.start(), x.end() + m.start()) for x in WORD.finditer(m.group())]
+        data = np.frombuffer(m.group().encode(), np.uint8)
+        hashes, _ = ts.word_hashes(data, np.array([0, len(data)]))
+        n = len(spans)
+        pair = [None, *(int(ts.mix(hashes[i - 1 : i] * pd6._STEP + hashes[i : i + 1])[0]) for i in range(1, n))]
+        cuts = [i for i in range(pd6.PARAGRAPH, n - pd6.PARAGRAPH + 1) if all(pair[i] < pair[j] for j in range(i - pd6.CUT, i)) and all(pair[i] <= pair[j] for j in range(i + 1, i + pd6.CUT + 1))]
+        for s, e in zip([0, *cuts], [*cuts, n]):
+            if e - s >= pd6.PARAGRAPH:
+                out.append((spans[s][0], spans[e - 1][1], e - s))
     return out
 
 
@@ -109,7 +110,7 @@ def clusters(rows):
         i = 0
         while i < len(found):
             j = i
-            while j + 1 < len(found) and found[j + 1][0] == found[j][0] + 1:
+            while j + 1 < len(found) and found[j + 1][0] == found[j][0] + 1 and found[j + 1][4][0] == found[j][4][0] and (found[j + 1][4] != (d, found[j + 1][0])) == (found[j][4] != (d, found[j][0])):
                 j += 1
             if sum(x[3] for x in found[i : j + 1]) >= pd6.RUN:
                 out |= {(d, k): (s, e, n, *first, first != (d, k)) for k, s, e, n, first in found[i : j + 1]}
@@ -132,6 +133,17 @@ def test_paragraph_dedup_finds_an_edited_passage(spark):
     assert found == {(1, False), (2, True)}
 
 
+def test_paragraph_dedup_finds_a_passage_amid_a_line(spark):
+    passages, rows = [words(300 + i, 60) for i in range(20)], []
+    for i in range(40):
+        around = words(500 + i, 90).split(" ")
+        at = (i * 7) % 90
+        rows.append((i, " ".join([*around[:at], passages[i % 20], *around[at:]])))
+    rows += [(100 + i, words(700 + i, 150)) for i in range(20)]
+    found = {r.doc_id: r.removed for r in pd6.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found.get(i, False) for i in range(20, 40)) >= 19 and not any(i >= 100 for i in found)
+
+
 def test_paragraph_dedup_defined_cases(edges, empty):
     found = {(r.doc_id, r.keep_doc_id, r.removed) for r in pd6.repeated_paragraphs(edges).collect()}
     assert found == {(None, None, False), (3, None, True), (4, None, True)}
