@@ -2,7 +2,7 @@
 
 A text becomes a line of lower-case words.  Rules are regular expressions over
 that line; each has a label, a priority and a keyword, and runs only where its
-keyword occurs.  Texts without any trace of a license are not even normalised.
+keyword occurs.  Texts without a part that some rule needs are not even normalised.
 Detections are word intervals; one that lies inside another of at least its
 priority is suppressed (of equal intervals the first rule stays).  All of it is
 one projection of built-in functions: no shuffle, no Python.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 _SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-_TRACE = rf"(?i)licen[cs]|copyright|copyleft|spdx|gpl|unlicense|wtfpl|public[{_SEP}]+domain|creative[{_SEP}]+commons|all[{_SEP}]+rights|cc[{_SEP}]*(?:by|0|zero)|permission[{_SEP}]+(?:is|to)|redistribut|unencumbered|proprietary|confidential|express[{_SEP}]+or[{_SEP}]+implied"
 
 #: Families: label, keyword, name as a pattern over words.
 FAMILIES = [
@@ -117,6 +116,18 @@ def rules() -> list[tuple[int, str, str, str, int]]:
     return [(i, label, f" {keyword}", f"(?<= )(?:{pattern})(?= )", priority) for i, (label, keyword, pattern, priority) in enumerate([*TEXTS, *found])]
 
 
+def _traces() -> str:
+    """A pattern over a text as it is that stands in every text with a detection.
+
+    Each rule gives what it cannot do without: a form its part on one side of the
+    name, a name that counts alone its keyword, other signatures their whole pattern.
+    """
+    cues = [before if not after or after.endswith("?") else after for before, after in (form.split("{}") for form, _ in FORMS)]
+    cues += [keyword for label, keyword, _ in FAMILIES if keyword in _ALONE or label in _ALONE_LABELS]
+    cues += [*(pattern for _, _, pattern, _ in TEXTS), *BASE]
+    return rf"(?i)(?:^|[{_SEP}])(?:{'|'.join(dict.fromkeys(c.strip() for c in cues))})".replace(" ", f"[{_SEP}]+")
+
+
 def _words_in(piece: Column) -> Column:
     """Words of a piece of the line that starts and ends with a blank."""
     return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit(""))) - 1
@@ -143,7 +154,7 @@ def scan_licenses(df: DataFrame, text_column: str = "text", keys: tuple[str, ...
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     line = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, upper, lower), rf"[{_SEP}]+", " ")), F.lit(" "))
     rows = df.select(*keys, F.col(text_column).alias("_text"))
-    rows = rows.select(*keys, F.regexp_count(text, F.lit(rf"[^{_SEP}]+")).cast("long").alias("n_words"), F.when(F.col("_text").rlike(_TRACE), line).alias("_line"))
+    rows = rows.select(*keys, F.regexp_count(text, F.lit(rf"[^{_SEP}]+")).cast("long").alias("n_words"), F.when(F.col("_text").rlike(_traces()), line).alias("_line"))
     no_base = F.array().cast("array<struct<label:string,start:int>>")
     labelled = lambda label: lambda p: F.struct(F.lit(label).alias("label"), p["start"].alias("start"))
     base = F.concat(*(

@@ -153,6 +153,12 @@ def test_license_texts(spark, text, labels):
     assert ",".join(sorted(own)) == labels and own == labels_by_hand(text)
 
 
+def test_licenses_without_the_word(spark):
+    texts = {"Released under MIT.": "mit", "Distributed under the Apache 2.0": "apache-2", "made available under BSD-3-Clause": "bsd-3-clause", "released under MPL 2.0": "mpl-2", "subject to the terms of the ISC": "isc", "Apache\n2.0": "apache-2", "Published under (the) zlib": "zlib", "released to the press": ""}
+    for r in license_scan.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string"), keys=("text",)).collect():
+        assert ",".join(sorted(d.label for d in r.detections)) == texts[r.text] == ",".join(sorted(labels_by_hand(r.text)))
+
+
 def test_hundreds_of_rules():
     rules = license_scan.rules()
     assert len(rules) > 250 and all(re.compile(p) for *_, p, _ in rules)
