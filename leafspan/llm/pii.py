@@ -38,11 +38,12 @@ ROUNDS = 40
 _TITLES = {"m": r"Mr|Herr|Monsieur|Sr|Señor|Sir|Signor|Г-н|Господин", "f": r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Sra|Señora|Lady|Signora|Г-жа|Госпожа", "n": r"Dr|Prof|Professor"}
 _ANY_TITLE = "|".join(_TITLES.values())
 _ASSIGN = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-_SECRET = r"(?=[A-Za-z+/_=.-]{0,200}[0-9])[A-Za-z0-9+/_=-]{8,200}"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 _ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+#: A value to its end, without the full stops of a sentence; addresses behind a key stay addresses.
+_SECRET = rf"(?!{_EMAIL}|{_IP}(?![A-Za-z0-9+/_=~-]))(?=[A-Za-z+/_=.~-]*+[0-9])[A-Za-z0-9+/_=.~-]{{8,}}(?<!\.)"
 _CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7})(?![0-9])"
 _PHONE = r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -75,7 +76,7 @@ def _check_sum(digits: Column) -> Column:
 def _read(e: Column) -> Column:
     """What one match is: the part that stays before it, the part that is replaced, and its types and normal forms."""
     prefix = F.when(e.rlike(f"^{_ASSIGN}"), F.regexp_extract(e, f"^{_ASSIGN}", 0)).when(e.rlike(rf"^(?:{_ANY_TITLE})\.? \p{{Lu}}"), F.regexp_extract(e, rf"^(?:{_ANY_TITLE})\.? ", 0)).otherwise("")
-    body = F.substring(e, F.length(prefix) + 1, F.lit(1 << 20))
+    body = F.substring(e, F.length(prefix) + 1, F.length(e))
     piece = lambda kind, norm: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), norm.alias("norm"))
     gender = F.when(prefix.rlike(f"^(?:{_TITLES['f']})\\b"), "given:f").when(prefix.rlike(f"^(?:{_TITLES['m']})\\b"), "given:m").otherwise("given:n")
     names = F.split(body, " ")
@@ -128,7 +129,7 @@ def _surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     lead = F.regexp_extract(norm, r"^\+?[0-9]", 0)
     phone = F.concat(lead, (_number(h, 60, 8) + 2).cast("string"), _shape(F.substring(norm, F.length(lead) + 2, F.lit(40)), h))
     access = F.concat(F.substring(norm, 1, 4), _shape(F.substring(norm, 5, 16), h))
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), F.substring(F.repeat(h, 2), F.lit(1), F.length(norm))).otherwise(_shape(norm, h))
+    secret = F.when(norm.rlike("^[0-9a-f]+$"), F.substring(F.repeat(h, F.ceil(F.length(norm) / 128).cast("int")), F.lit(1), F.length(norm))).otherwise(_shape(norm, h))
 
     def named(lists):
         def of(script):
