@@ -13,9 +13,11 @@ string gets one behind its first character, so no text can hold a control string
 the original comes back exactly.
 
 Equal conversations collapse to one leaf, by an aggregate with map-side combine.  A
-beginning shared by more than TREE conversations is split: each of its next turns
-starts a tree of its own, which repeats the turns above it, so no task holds more
-than TREE conversations.
+beginning shared by more than TREE conversations is split: those that share no longer
+such beginning are dealt by their next turn to groups of about GROUP, and a group, in
+the order of its paths, is cut into trees of TREE conversations.  Each tree repeats the
+turns above, so a shared turn stands once for each TREE conversations, not for each next
+turn, and no task of the trees holds more than TREE conversations at once.
 
 Defined cases: null text and null role are empty; turns order by turn, then role and
 text, nulls first; repeated rows are turns of their own; rows without conv_id form one
@@ -28,13 +30,15 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import grouped, parts, shared_dir, small, stage
 
 #: Conversations of one tree at most.
 TREE = 256
+#: Conversations of a hot beginning that are ordered together.
+GROUP = 4096
 #: What opens and closes a turn; fixed values.
 MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>>\n", "\n<</SYS>>\n"), "assistant": (" ", " </s>")}
 _CONTROL = re.compile(r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE:|\[/ROLE\]")
@@ -136,8 +140,13 @@ def chat_trees(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     if hot.isEmpty():
         rooted = distinct.withColumn("tree", F.element_at("paths", 1))
     else:
-        cut = steps.join(small(hot), "path").groupBy("leaf").agg((F.max("depth") + 2).alias("at"))
-        rooted = distinct.join(cut, "leaf", "left").withColumn("tree", F.element_at("paths", F.least(F.coalesce("at", F.lit(1)), F.size("paths")))).drop("at")
+        deepest = stage(steps.join(small(hot), "path").groupBy("leaf").agg(F.max_by("path", "depth").alias("cut"), (F.max("depth") + 2).alias("at")), "deepest")
+        sizes = stage(deepest.groupBy("cut").agg(F.count("*").alias("own")), "sizes")
+        turn = F.element_at("paths", F.least("at", F.size("paths")))
+        dealt = distinct.join(deepest.join(small(sizes), "cut"), "leaf").withColumn("group", F.pmod(F.xxhash64(turn), F.ceil(F.col("own") / GROUP)))
+        chunk = F.floor((F.row_number().over(Window.partitionBy("cut", "group").orderBy("paths")) - 1) / TREE)
+        split = dealt.withColumn("tree", F.concat("cut", F.concat_ws(":", "group", chunk.cast("string")).cast("binary")))
+        rooted = distinct.join(deepest, "leaf", "left_anti").withColumn("tree", F.element_at("paths", 1)).unionByName(split.drop("cut", "at", "own", "group"))
 
     def grow(batches):
         for (key,), slices in grouped(batches, ["tree"]):

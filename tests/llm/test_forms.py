@@ -186,6 +186,15 @@ def test_hot_beginning_is_split(spark, monkeypatch):
     assert all([(t.role, t.text) for t in found[i].turns] == [(r[2], r[3]) for r in rows if r[0] == i] for i in range(60))
 
 
+def test_hot_beginning_stands_once_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(chat_tree, "TREE", 4)
+    rows = [(i, t, ("system", "user")[t], "shared" if t == 0 else f"own-{i}") for i in range(60) for t in range(2)]
+    trees = chat_tree.chat_trees(spark.createDataFrame([(*r, None, None, None) for r in rows], KIND))[0].collect()
+    assert sum(t.text.count("shared") for t in trees) == len(trees) == 15 and sorted(len(t.leaves) for t in trees) == [4] * 15
+    found = read(spark, rows)
+    assert all([t.text for t in found[i].turns] == ["shared", f"own-{i}"] for i in range(60))
+
+
 # --- pipeline ---
 
 def test_pipeline_stages(spark, tmp_path):
