@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -16,29 +17,51 @@ from .textscan import U64, blocks, mix, utf8
 
 #: Rows of texts in an Arrow batch.
 ROWS = 2000
-#: Rows of two longs that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of their values, that may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Tasks of one shuffle at most; groups may be more, and are taken one at a time.
+TASKS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset.
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Also keeps Arrow batches at ROWS rows for the session: texts are large rows.
+    Where that is unset, a local session gets a temporary folder and any other an
+    error.  Also keeps Arrow batches at ROWS rows for the session: texts are large rows.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leafspan-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def clear():
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(spark, path)
+
+    atexit.register(clear)
+    return path
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    path = f"{folder(spark, 'stage')}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,11 +69,9 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        for folder in {os.path.dirname(f) for f in table.inputFiles()}:
-            if "/stage-" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+        for found in {os.path.dirname(f) for f in table.inputFiles()}:
+            if "/stage-" in found:
+                _delete(table.sparkSession, os.path.dirname(found))
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -59,14 +80,23 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, each: int = 8 << 20) -> int:
-    """Shuffle partitions for a table: the session's number, or more where a known size asks for more."""
+    """Groups to deal a table to: the session's number of shuffle partitions, or more where a known size asks for more."""
     size, own = input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own if size >= 1 << 60 else max(own, min(200_000, -(-size // each)))
+    return own if size >= 1 << 60 else max(own, -(-size // each))
+
+
+def _value_bytes(name: str, kind: str):
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(f"`{name}`"), F.lit(0)) + 16
+    return F.lit(8) if "<" not in kind else F.coalesce(F.octet_length(F.to_json(F.struct(f"`{name}`"))), F.lit(0))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, if a count shows that the table is small; call it on staged tables."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint, if a count of rows and bytes shows that the table is small; call it on staged tables."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    total = df.agg(F.coalesce(F.sum(sum((_value_bytes(n, k) for n, k in df.dtypes), F.lit(0))), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= size else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

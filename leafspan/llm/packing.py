@@ -21,63 +21,17 @@ columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
-import json
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import grouped, parts, shared_dir, sliced
+from .tokens import encoder
 
 WINDOW, SHARD, STOP, RANKED = 1024, 4096, 8, 32
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-_PROBE = "Don't stop 12 é ß\n\n  naïve 中文\t<tag> it's  "
-
-
-@functools.cache
-def encoder(path: str):
-    """A function from a text to its ids, as the tokenizer file at ``path`` defines them, special tokens not added.
-
-    Byte-level BPE files whose ids are in merge order are run by a second engine for
-    speed; a probe must agree, and texts with an added token or that the engine
-    refuses go to the first one.
-    """
-    from tokenizers import Tokenizer
-
-    exact = Tokenizer.from_file(path)
-
-    def slow(text: str) -> np.ndarray:
-        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    if spec["model"].get("type") != "BPE" or "ByteLevel" not in json.dumps(spec.get("pre_tokenizer")) or spec.get("normalizer"):
-        return slow
-    import tiktoken
-
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    added = [t["content"] for t in spec.get("added_tokens", [])]
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    if fast.encode_ordinary(_PROBE) != slow(_PROBE).tolist():
-        return slow
-
-    def encode(text: str) -> np.ndarray:
-        if len(text) > 1 << 20 or any(a in text for a in added):
-            return slow(text)
-        try:
-            return np.asarray(fast.encode_to_numpy(text), np.uint32)
-        except BaseException as e:  # the engine panics on some inputs
-            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
-                raise
-            return slow(text)
-
-    return encode
 
 
 def _index(rests: list[np.ndarray]):

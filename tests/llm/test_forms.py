@@ -7,10 +7,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from leafspan.llm import chat_tree, media, packing
+from leafspan.llm.tokens import decoder
 from tests.llm.conftest import words
 
 DATA = "/root/testdata/sf0.001"
@@ -142,57 +144,94 @@ def test_escapes_come_back():
     parts = ["\\", "[", "INST]", "[INST]", "[/INST]", "</s>", " ", "<", "s>", "/", "]", "[ROLE:", "ok", "<<SYS>>", "<</SYS>>", "\n", "%5D"]
     for _ in range(20_000):
         turns = [(rng.choice(["user", "assistant", "system", "to]ol", "x\\", "", "[INST]"]), "".join(rng.choices(parts, k=rng.randint(0, 6)))) for _ in range(rng.randint(1, 3))]
-        assert chat_tree.parse("".join(chat_tree.format_turn(*t)[0] for t in turns)) == turns
+        assert chat_tree.parse("".join("".join(chat_tree.format_turn(*t)) for t in turns)) == turns
 
 
-CHAT = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", "why"), (3, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (5, 0, "tool", None), (5, 1, None, "x"), (6, 0, "user", "a"), (6, 0, "user", "a"), (None, 2, "assistant", ""), (None, None, "user", "q")]
+CHAT = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", "why"), (3, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (5, 0, "tool", None), (5, 1, None, "x"), (6, 0, "user", "a"), (6, 0, "user", "a"), (None, 2, "assistant", ""), (None, None, "user", "q"), (7, 0, "user", "<|endoftext|> \\ [INST]")]
 KIND = "conv_id long, turn long, role string, text string, leaf string, tree int, paths string"
 
 
+def grown(spark, rows):
+    trees, places = chat_tree.chat_trees(spark.createDataFrame([(*r, None, None, None) for r in rows], KIND), PATH)
+    return trees.cache(), places.cache()
+
+
+def decoded(node, tree):
+    return decoder(PATH)(tree.tokens[node.start : node.end]).decode()
+
+
 def test_shared_turns_stand_once(spark):
-    trees, leaves = chat_tree.chat_trees(spark.createDataFrame([(*r, None, None, None) for r in CHAT], KIND))
-    shared = next(t for t in trees.collect() if "hi" in t.text)
-    assert shared.text.count("hi") == 1 and shared.text.count("yo") == 1
-    for node in shared.nodes:
-        above = node.ancestors
-        assert node.position == sum(a.end - a.start for a in above)
-        assert (node.parent < 0) == (not above) and (not above or (shared.nodes[node.parent].start, shared.nodes[node.parent].end) == tuple(above[-1]))
-        assert (node.loss_start is None) == (not shared.text[node.start : node.end].endswith(" </s>"))
-    assert len({r.leaf for r in leaves.collect() if r.conv_id in (1, 4)}) == 1
+    trees, places = grown(spark, CHAT)
+    shared = next(t for t in trees.collect() if any("hi" in decoded(n, t) for n in t.nodes))
+    assert [decoded(n, shared) for n in shared.nodes][0] == "[INST] hi [/INST]" and sum("yo" in decoded(n, shared) for n in shared.nodes) == 1 and len(shared.nodes) == 4
+    for i, node in enumerate(shared.nodes):
+        above, at = [], node.parent
+        while at >= 0:
+            above.append(at)
+            at = shared.nodes[at].parent
+        # the intervals [start, reach) that a node's tokens lie in are its ancestors' and its own
+        assert [j for j, n in enumerate(shared.nodes) if n.start <= node.start < n.reach] == sorted([*above, i])
+        assert node.position == sum(shared.nodes[j].end - shared.nodes[j].start for j in above)
+        assert shared.positions[node.start : node.end] == list(range(node.position, node.position + node.end - node.start))
+        assert (node.loss_start is None) == (not decoded(node, shared).endswith(" </s>"))
+        if node.loss_start is not None:
+            assert decoder(PATH)(shared.tokens[node.loss_start : node.loss_end]) in (b"yo", b"no")
+    assert len({r.leaf for r in places.collect() if r.conv_id in (1, 4)}) == 1
 
 
 def read(spark, rows):
-    trees, leaves = chat_tree.chat_trees(spark.createDataFrame([(*r, None, None, None) for r in rows], KIND))
-    back = {bytes(r.leaf): r for r in chat_tree.read_back(trees).collect()}
-    return {r.conv_id: back[bytes(r.leaf)] for r in leaves.collect()}
+    trees, places = grown(spark, rows)
+    back = {bytes(r.leaf): r for r in chat_tree.read_back(trees, places, PATH).collect()}
+    return [(r.conv_id, back[bytes(r.leaf)]) for r in places.collect()]
 
 
 def test_chat_defined_cases(spark):
-    found = read(spark, CHAT)
+    rows = read(spark, CHAT)
+    found = dict(rows)
     assert [(t.role, t.text) for t in found[5].turns] == [("tool", ""), ("", "x")]
     assert [(t.role, t.text) for t in found[6].turns] == [("user", "a")] * 2
-    assert [(t.role, t.text) for t in found[None].turns] == [("user", "q"), ("assistant", "")]
-    assert found[2].loss == "no" and found[3].loss == ""
-    trees, leaves = chat_tree.chat_trees(spark.createDataFrame([], KIND))
-    assert trees.count() == leaves.count() == 0
+    assert sorted([(t.role, t.text) for t in f.turns] for c, f in rows if c is None) == [[("assistant", "")], [("user", "q")]]
+    assert found[2].loss == "no" and found[3].loss == "" and found[7].turns[0].text == "<|endoftext|> \\ [INST]"
+    trees, places = grown(spark, [])
+    assert trees.count() == places.count() == 0
 
 
-def test_hot_beginning_is_split(spark, monkeypatch):
-    monkeypatch.setattr(chat_tree, "TREE", 4)
-    rows = [(i, t, ("user", "assistant")[t % 2], "same" if t < i % 3 else f"{i}-{t}") for i in range(60) for t in range(4)]
-    trees, _ = chat_tree.chat_trees(spark.createDataFrame([(*r, None, None, None) for r in rows], KIND))
-    assert max(len(t.leaves) for t in trees.collect()) <= 4
-    found = read(spark, rows)
-    assert all([(t.role, t.text) for t in found[i].turns] == [(r[2], r[3]) for r in rows if r[0] == i] for i in range(60))
+def as_given(rows, i):
+    return [(r[2], r[3]) for r in rows if r[0] == i]
 
 
-def test_hot_beginning_stands_once_a_tree(spark, monkeypatch):
+def test_hot_beginnings_are_a_trunk(spark, monkeypatch):
     monkeypatch.setattr(chat_tree, "TREE", 4)
-    rows = [(i, t, ("system", "user")[t], "shared" if t == 0 else f"own-{i}") for i in range(60) for t in range(2)]
-    trees = chat_tree.chat_trees(spark.createDataFrame([(*r, None, None, None) for r in rows], KIND))[0].collect()
-    assert sum(t.text.count("shared") for t in trees) == len(trees) == 15 and sorted(len(t.leaves) for t in trees) == [4] * 15
-    found = read(spark, rows)
-    assert all([t.text for t in found[i].turns] == ["shared", f"own-{i}"] for i in range(60))
+    rows = [(i, t, ("user", "assistant")[t % 2], "same" if t < i % 3 else f"{i}-{t}") for i in range(60) for t in range(4)] + [(100, 0, "user", "same")]
+    trees, places = grown(spark, rows)
+    texts = [decoded(n, t) for t in trees.collect() for n in t.nodes]
+    assert texts.count("[INST] same [/INST]") == texts.count(" same </s>") == 1 and max(len(t.leaves) for t in trees.collect()) <= 8
+    assert all([(t.role, t.text) for t in f.turns] == as_given(rows, c) for c, f in read(spark, rows))
+    by_id = {bytes(t.tree): t for t in trees.collect()}
+    for t in by_id.values():  # positions run on from the trunk
+        base, above = 0, t.above
+        while above is not None:
+            base, above = base + len(by_id[bytes(above)].tokens), by_id[bytes(above)].above
+        assert all(n.position == base for n in t.nodes if n.parent < 0)
+
+
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_one_system_turn_stands_once(spark, n):
+    rows = spark.range(n).selectExpr("id AS conv_id", "explode(array(0L, 1L)) AS turn").selectExpr("conv_id", "turn", "if(turn = 0, 'system', 'user') AS role", "if(turn = 0, 'shared words', concat('own ', conv_id)) AS text")
+    trees, places = chat_tree.chat_trees(rows, PATH)
+    trees = trees.cache()
+    system = chat_tree.encoder(PATH, True)("shared words").tolist()
+    holders = [t for t in trees.where(F.size("leaves") == 0).collect()]
+    assert len(holders) == 1 and str(system)[1:-1] in str(list(holders[0].tokens))
+    assert all(t.above == holders[0].tree for t in trees.where(F.size("leaves") > 0).select("above").collect())
+    assert trees.select(F.sum(F.size("nodes"))).first()[0] == n + 1 and chat_tree.read_back(trees, places, PATH).where("formatted LIKE '%shared words%own %'").count() == n
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(i, t, ("user", "assistant")[t % 2], f"turn {t}" if t < 15_000 else f"{i}") for i in range(2) for t in range(15_001)]
+    trees, _ = grown(spark, rows)
+    assert sorted(len(t.nodes) for t in trees.collect()) == [15_002]
+    assert all([(t.role, t.text) for t in f.turns] == as_given(rows, c) for c, f in read(spark, rows))
 
 
 # --- pipeline ---
