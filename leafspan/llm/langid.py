@@ -2,17 +2,20 @@
 
 ``train`` counts letters, pairs and triples of letters (words padded by blanks,
 case folded) of every labelled text and keeps the PROFILE most frequent of each
-language with their ranks.  ``predict`` ranks the n-grams of a whole text likewise
+language with their ranks.  An n-gram's code holds the code points of its letters,
+21 bits each, so all scripts count alike and no two n-grams share a code.  ``predict`` ranks the n-grams of a whole text likewise
 and sums the places by which each is out of its place in a profile; an n-gram
 missing there counts PROFILE places.  The nearest profile wins, ties go to the
 first in alphabetical order; the score is 1 less the distance as a share of the
 largest possible.  Counts are over all labelled rows; only the profiles, PROFILE
-rows for each label, reach the driver.
+rows for each label, reach the driver and are broadcast, 20 bytes a row; more than
+LABELS labels are an error.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, as is
 every text if no label was learned; null labels teach nothing; a null doc_id is
-never held out and teaches nothing; letters of all scripts count, those outside
-the common Latin ones share a few symbols; other columns are not read.
+never held out and teaches nothing; marks (vowel signs, accents of their own) count
+as letters of a word, but a text of marks alone has no letter; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,23 +32,23 @@ from . import textscan as ts
 
 #: N-grams in a profile.
 PROFILE = 300
-#: Letters with a symbol of their own, after a to z; fixed values.
-ACCENTED = "àâäáãçèéêëìíîïñòóôöõùúûüßœæøåł"
-_OTHER = 7
-_PAIRS, _TRIPLES, _CODES = 64, 64 + 64 * 64, 64 + 64 * 64 + 64**3
+#: Labels whose profiles may be broadcast.
+LABELS = 50_000
+#: Distinct n-grams that a task holds before it passes their counts on.
+HELD = 1 << 21
+#: What stands for the blank around words: above all code points.
+BLANK = 0x110000
 
 
 @functools.cache
-def _symbols() -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter, else 1..63."""
-    table = np.zeros(0x110000, np.int8)
-    own = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED, 1)}
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: its small letter (0 for what is neither letter nor mark), and whether it is a letter."""
+    table, letter = np.zeros(0x110000, np.int32), np.zeros(0x110000, bool)
     for cp in range(0x110000):
-        c = chr(cp)
-        if unicodedata.category(c)[0] == "L":
-            low = c.lower()[0]
-            table[cp] = own.get(low) or 63 - (ord(low) >> 7) % _OTHER
-    return table
+        kind = unicodedata.category(chr(cp))[0]
+        if kind in "LM":
+            table[cp], letter[cp] = ord(chr(cp).lower()[0]), kind == "L"
+    return table, letter
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +68,17 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _symbol_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of each row, with one blank for each run of other characters and at both ends; offsets of rows."""
+    """Symbols of each row, with one blank for each run of other characters and at both ends; offsets of rows.
+
+    Rows without a letter have blanks alone.
+    """
     points, rows = code_points(data, offsets)
-    symbols = _symbols()[points]
+    table, letter = _symbols()
+    symbols = table[points]
+    letters = np.r_[0, np.cumsum(letter[points])]
+    bare = letters[rows[1:]] == letters[rows[:-1]]
+    if bare.any():
+        symbols[np.repeat(bare, np.diff(rows))] = 0
     keep = symbols > 0
     keep[1:] |= symbols[:-1] > 0
     if len(keep):
@@ -81,29 +92,42 @@ def _symbol_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, np.r_[starts, len(out)]
 
 
-def _codes(s: np.ndarray) -> np.ndarray:
-    """N-gram codes of one run of symbols."""
-    pairs, triples = s[:-1] * 64 + s[1:], None
-    triples = (pairs[:-1] * 64 + s[2:])[s[1:-1] > 0]
-    return np.concatenate([s[s > 0], pairs[pairs > 0] + _PAIRS, triples + _TRIPLES])
-
-
-def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(codes) > 1 << 15:
-        counts = np.bincount(codes, minlength=_CODES)
+def _counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram codes of runs of symbols and how often each occurs.
+
+    Symbols are numbered by a small alphabet first, so that a long run is counted in
+    a table; codes then hold the code points.
+    """
+    seen = np.zeros(BLANK, bool)
+    seen[s] = True
+    alphabet = np.flatnonzero(seen)
+    alphabet = np.r_[0, alphabet[alphabet > 0]]
+    number = np.zeros(BLANK, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    d, n = number[s], len(alphabet)
+    pairs = d[:-1] * n + d[1:]
+    triples = (pairs[:-1] * n + d[2:])[d[1:-1] > 0]
+    codes = np.concatenate([d[d > 0], pairs[pairs > 0] + n, triples + n + n * n])
+    size = n + n * n + n**3
+    if len(codes) * 4 > size:
+        counts = np.bincount(codes, minlength=size)
         found = np.flatnonzero(counts)
-        return found, counts[found]
-    return np.unique(codes, return_counts=True)
+        counts = counts[found]
+    else:
+        found, counts = np.unique(codes, return_counts=True)
+    points = np.where(alphabet > 0, alphabet, BLANK)
+    one, two = found < n, (found >= n) & (found < n + n * n)
+    pair, triple = found[two] - n, found[~one & ~two] - n - n * n
+    return np.concatenate([points[found[one]], points[pair // n] << 21 | points[pair % n], points[triple // (n * n)] << 42 | points[triple // n % n] << 21 | points[triple % n]]), counts
 
 
-def _top(codes: np.ndarray) -> np.ndarray:
+def _top(symbols: np.ndarray) -> np.ndarray:
     """The PROFILE most frequent codes, first the most frequent, ties by code."""
-    found, counts = _counts(codes)
-    key = (counts.astype(np.int64) << 20) - found
-    if len(key) > PROFILE:
-        best = np.argpartition(-key, PROFILE)[:PROFILE]
-        found, key = found[best], key[best]
-    return found[np.argsort(-key)]
+    codes, counts = _counts(symbols)
+    if len(codes) > PROFILE:
+        least = -np.partition(-counts, PROFILE - 1)[PROFILE - 1]
+        codes, counts = codes[counts >= least], counts[counts >= least]
+    return codes[np.lexsort((codes, -counts))][:PROFILE]
 
 
 def train(df: DataFrame, text_column: str = "text", label_column: str = "lang") -> list[tuple[str, int, int]]:
@@ -111,13 +135,18 @@ def train(df: DataFrame, text_column: str = "text", label_column: str = "lang")
     rows = df.select(F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("lang")).where("text is not null and lang is not null")
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def merged(lang):
+            codes, counts = (np.concatenate(c) for c in zip(*held[lang]))
+            codes, where = np.unique(codes, return_inverse=True)
+            return codes, np.bincount(where, counts, len(codes)).astype(np.int64)
 
         def flush():
-            for lang, counts in sums.items():
-                found = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.astype(np.int32)), pa.array(counts[found])], ["lang", "code", "n"])
-            sums.clear()
+            for lang in held:
+                codes, counts = merged(lang)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
+            held.clear()
 
         for batch in batches:
             data, offsets = ts.utf8(batch.column("text"))
@@ -126,36 +155,46 @@ def train(df: DataFrame, text_column: str = "text", label_column: str = "lang")
                 symbols, runs = _symbol_runs(*ts.bytes_slice(data, offsets, at, to))
                 for lang in sorted(set(langs[at:to])):
                     own = np.repeat(langs[at:to] == lang, np.diff(runs))
-                    if lang not in sums:
-                        sums[lang] = np.zeros(_CODES, np.int64)
-                    sums[lang] += np.bincount(_codes(symbols[own]), minlength=_CODES)
-                if len(sums) > 32:
+                    held.setdefault(lang, []).append(_counts(symbols[own]))
+                    if len(held[lang]) >= 16:
+                        held[lang] = [merged(lang)]
+                if sum(len(c) for each in held.values() for c, _ in each) > HELD:
                     yield from flush()
         yield from flush()
 
-    counted = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    return [tuple(r) for r in counted.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "code", "rank").collect()]
+    found = [tuple(r) for r in counted.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "code", "rank").limit(LABELS * PROFILE + 1).collect()]
+    if len(found) > LABELS * PROFILE:
+        raise ValueError(f"more than {LABELS} labels")
+    return found
 
 
 def predict(df: DataFrame, profiles: list[tuple[str, int, int]], text_column: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The key columns, lang_pred, score (0 to 1) and margin (the second's distance less the first's, as a share)."""
     langs = sorted({p[0] for p in profiles})
-    ranks = np.full((len(langs), _CODES), -1, np.int32)
-    for lang, code, rank in profiles:
-        ranks[langs.index(lang), code] = rank - 1
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    number = {lang: i for i, lang in enumerate(langs)}
+    # places by code: of each code a run of (label, rank)
+    places = np.array(sorted((code, number[lang], rank - 1) for lang, code, rank in profiles), np.int64).reshape(-1, 3)
+    codes, first = np.unique(places[:, 0], return_index=True)
+    shared = df.sparkSession.sparkContext.broadcast((codes, np.r_[first, len(places)], places[:, 1].astype(np.int32), places[:, 2].astype(np.int32)))
     # a text among the keys is not sent twice
     text = text_column if text_column in keys else "_text"
     df = df.select(*keys) if text_column in keys else df.select(*keys, F.col(text_column).alias("_text"))
 
-    def one(symbols: np.ndarray, table: np.ndarray) -> tuple[str, float, float]:
+    def one(symbols: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[str, float, float]:
         if not len(langs) or not symbols.any():
             return "und", 0.0, 0.0
-        top = _top(_codes(symbols))
-        there = table[:, top]
-        away = np.where(there < 0, PROFILE, np.abs(there - np.arange(len(top)))).sum(axis=1)
-        best, most = int(np.argmin(away)), PROFILE * len(top)
+        codes, first, label, rank = table
+        top = _top(symbols)
+        where = np.minimum(np.searchsorted(codes, top), len(codes) - 1)
+        known = np.flatnonzero(codes[where] == top)
+        begin, n = first[where[known]], first[where[known] + 1] - first[where[known]]
+        entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        most = PROFILE * len(top)
+        # a code that a profile has is as far as its ranks differ, any other PROFILE places
+        away = most + np.bincount(label[entry], np.abs(rank[entry] - np.repeat(known, n)) - PROFILE, len(langs)).astype(np.int64)
+        best = int(np.argmin(away))
         others = np.delete(away, best)
         return langs[best], 1 - float(away[best]) / most, float(others.min() - away[best]) / most if len(others) else 1.0
 

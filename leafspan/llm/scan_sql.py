@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .langid import _OTHER, ACCENTED, PROFILE
+from .langid import BLANK, PROFILE
 from .license_scan import BASE, rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,10 +61,12 @@ def language_id() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, lang, {crc} % 4 = 2 AS held_out, coalesce(text, '') AS text FROM documents),
 c AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS ch FROM (SELECT doc_id, string_split(text, '') AS a FROM d WHERE text <> '')),
-y AS (SELECT doc_id, i, CASE WHEN NOT regexp_matches(ch, '^\p{{L}}') THEN 0 WHEN instr('abcdefghijklmnopqrstuvwxyz{ACCENTED}', lower(ch)) > 0 THEN instr('abcdefghijklmnopqrstuvwxyz{ACCENTED}', lower(ch)) ELSE 63 - (unicode(lower(ch)) >> 7) % {_OTHER} END AS s FROM c),
+y AS (SELECT doc_id, i, CASE WHEN regexp_matches(ch, '^[\p{{L}}\p{{M}}]') AND bool_or(regexp_matches(ch, '^\p{{L}}')) OVER (PARTITION BY doc_id) THEN unicode(lower(ch))::BIGINT ELSE 0 END AS s FROM c),
 k AS (SELECT doc_id, i, s FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM y) WHERE s > 0 OR before > 0),
 n AS (SELECT doc_id, s, coalesce(lag(s) OVER w, 0) AS p, coalesce(lead(s) OVER w, 0) AS q, lead(s) OVER w IS NULL AS ends FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT doc_id, s AS code FROM n WHERE s > 0 UNION ALL SELECT doc_id, 64 + p * 64 + s FROM n WHERE p * 64 + s > 0 UNION ALL SELECT doc_id, 64 + s * 64 FROM n WHERE ends AND s > 0 UNION ALL SELECT doc_id, 4160 + (p * 64 + s) * 64 + q FROM n WHERE s > 0),
+z AS (SELECT doc_id, s, CASE p WHEN 0 THEN {BLANK} ELSE p END AS p, CASE q WHEN 0 THEN {BLANK} ELSE q END AS q, p AS before, ends FROM n),
+g AS (SELECT doc_id, s AS code FROM z WHERE s > 0 UNION ALL SELECT doc_id, (p << 21) | CASE s WHEN 0 THEN {BLANK} ELSE s END FROM z WHERE before > 0 OR s > 0
+  UNION ALL SELECT doc_id, (s << 21) | {BLANK} FROM z WHERE ends AND s > 0 UNION ALL SELECT doc_id, (p << 42) | (s << 21) | q FROM z WHERE s > 0),
 f AS (SELECT doc_id, code, count(*) AS n FROM g GROUP BY 1, 2),
 t AS (SELECT * FROM (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS r FROM f) WHERE r < {PROFILE}),
 l AS (SELECT lang, code, sum(n) AS n FROM f JOIN d ON d.doc_id = f.doc_id WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),

@@ -27,7 +27,7 @@ def test_held_out_labels_teach_nothing(spark):
 
 
 def test_out_of_place_distance_by_hand(spark):
-    profiles = [("a", int(c), r) for r, c in enumerate(langid._top(langid._codes(langid._symbol_runs(*_raw("abab abab ab"))[0])), 1)]
+    profiles = [("a", int(c), r) for r, c in enumerate(langid._top(langid._symbol_runs(*_raw("abab abab ab"))[0]), 1)]
     found = langid.predict(spark.createDataFrame([(1, "abab abab ab")], "doc_id long, text string"), profiles).first()
     assert (found.lang_pred, found.score) == ("a", 1.0)
 
@@ -39,13 +39,47 @@ def _raw(text):
     return data, np.array([0, len(data)])
 
 
+SENTENCES = {
+    "ru": ("Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений, национального или социального происхождения, имущественного, сословного или иного положения. Никто не должен содержаться в рабстве или в подневольном состоянии; рабство и работорговля запрещаются во всех их видах.", "Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность."),
+    "bg": ("Всички хора се раждат свободни и равни по достойнство и права. Те са надарени с разум и съвест и следва да се отнасят помежду си в дух на братство. Всеки човек има право на всички права и свободи, провъзгласени в тази Декларация, без никакви различия, основани на раса, цвят на кожата, пол, език, религия, политически или други възгледи, национален или социален произход, материално, обществено или друго положение. Никой не трябва да бъде държан в робство или в подчинение; робството и търговията с роби се забраняват във всичките им форми.", "Всяко лице има право на живот, свобода и лична сигурност."),
+    "uk": ("Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства. Кожна людина повинна мати всі права і всі свободи, проголошені цією Декларацією, незалежно від раси, кольору шкіри, статі, мови, релігії, політичних або інших переконань, національного чи соціального походження, майнового, станового або іншого становища. Ніхто не повинен бути в рабстві або у підневільному стані; рабство і работоргівля забороняються в усіх їх видах.", "Кожна людина має право на життя, на свободу і на особисту недоторканність."),
+    "el": ("Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.", "Κάθε άτομο έχει δικαίωμα στη ζωή, την ελευθερία και την προσωπική ασφάλεια."),
+    "ar": ("يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء", "لكل فرد الحق في الحياة والحرية وسلامة شخصه"),
+    "fa": ("تمام افراد بشر آزاد به دنیا می‌آیند و از لحاظ حیثیت و حقوق با هم برابرند همه دارای عقل و وجدان می‌باشند", "هر کس حق زندگی، آزادی و امنیت شخصی دارد"),
+    "ja": ("すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である。", "すべて人は、生命、自由及び身体の安全に対する権利を有する。"),
+    "zh": ("人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。", "人人有权享有生命、自由和人身安全。"),
+}
+
+
+def test_all_scripts_keep_their_letters(spark):
+    profiles = langid.train(spark.createDataFrame([(t[0], lang) for lang, t in SENTENCES.items()], "text string, lang string"))
+    found = langid.predict(spark.createDataFrame([(lang, t[1]) for lang, t in SENTENCES.items()], "doc_id string, text string"), profiles).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {lang: lang for lang in SENTENCES} and all(r.margin > 0 for r in found)
+
+
+def test_counts_by_hand():
+    from collections import Counter
+
+    for text in ("Ab, ab! été", "x" * 50 + " y", "мама мыла раму", "हिन्दी भाषा"):
+        symbols, _ = langid._symbol_runs(*_raw(text))
+        letters, want = [chr(c) if c else "_" for c in symbols], Counter()
+        for n in (1, 2, 3):
+            for i in range(len(letters) - n + 1):
+                g = letters[i : i + n]
+                if (n < 3 and any(c != "_" for c in g)) or (n == 3 and g[1] != "_"):
+                    want["".join(g)] += 1
+        codes, counts = langid._counts(symbols)
+        shown = lambda code: "".join("_" if c == langid.BLANK else chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
+        assert {shown(int(c)): int(n) for c, n in zip(codes, counts)} == want
+
+
 def test_language_defined_cases(spark, edges, edge_rows, empty):
     profiles = langid.learned(spark.read.parquet(f"{DATA}/documents.parquet"))
     found = {(r.doc_id, r.lang_pred == "und") for r in langid.predict(edges, profiles).collect()}
     assert {(1, True), (2, True), (7, True), (8, False), (9, False), (6, False), (None, True), (None, False)} <= found
     assert {r.lang_pred for r in langid.predict(edges, []).collect()} == {"und"}
     assert langid.predict(empty, profiles).count() == 0 and langid.train(empty) == []
-    assert [r.lang_pred for r in langid.predict(spark.createDataFrame([(1, "123 --- 😀")], "doc_id long, text string"), profiles).collect()] == ["und"]
+    assert [r.lang_pred for r in langid.predict(spark.createDataFrame([(1, "123 --- 😀"), (2, "\u0301\u0302 \u0301")], "doc_id long, text string"), profiles).collect()] == ["und", "und"]
 
 
 # --- benchmark decontamination ---
