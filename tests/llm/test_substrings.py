@@ -62,6 +62,35 @@ def test_suffix_dedup_defined_cases(edges, edge_rows, empty):
     assert sd.remove_repeats(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    again, other, alone = words(71, 40)[:150], words(72, 100)[:400], words(73, 200)
+    rows = [(7, again + alone[:300] + again), (7, other), (None, again + "x" * 60), (None, other[:90]), (None, alone[500:900]), (None, None), (None, None)]
+    found = [(r.doc_id, r.n_bytes, len(r.kept)) for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted([(7, 600, 300), (7, 400, 400), (None, 210, 210), (None, 90, 90), (None, 400, 400), (None, 0, 0), (None, 0, 0)], key=str)
+
+
+def test_one_string_in_very_many_texts(spark):
+    hot, rng = words(74, 20)[:45], random.Random(5)
+    rows = [(i, words(2000 + i, 12)[:60] + hot + words(9000 + i, 12)[:60]) for i in range(3000)]
+    rows += [(5000 + i, rng.choice(rows)[1][20:150]) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r[0]: tuple(r[1:]) for r in digest(sd.remove_repeats(df)).collect()} == remove(rows)
+
+
+def test_bucket_pointers_order_suffixes():
+    rng = random.Random(6)
+    for alphabet, n in (("ab", 3000), ("a", 1000), ("abcdefgh", 2000)):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 400))).encode() for _ in range(n // 200)]
+        data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        pointer = sd.suffix_order(data, ends, 100)
+        suffixes = [bytes(data[i:e]) for i, e in enumerate(ends)]
+        whole = [i for i, x in enumerate(suffixes) if len(x) >= 100]
+        by = sorted(whole, key=lambda i: pointer[i])
+        for i, j in zip(by, by[1:]):
+            assert suffixes[i][:100] <= suffixes[j][:100] and (pointer[i] < pointer[j] or suffixes[i][:100] == suffixes[j][:100])
+
+
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
