@@ -254,27 +254,28 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     gram = np.zeros(n, np.uint64)
     where = np.arange(n)
     for j in range(GRAM):
-        gram = gram << ts.U64(8) | np.where(where + j < ends, padded[j : j + n], 0).astype(np.uint64)
-    order = np.argsort(gram, kind="stable")
+        gram = gram << ts.U64(8) | padded[j : j + n] * (where + j < ends)
+    order = np.argsort(gram)
     new = np.r_[True, gram[order[1:]] != gram[order[:-1]]]
     pointer = np.empty(n, np.int64)
     pointer[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    offset = GRAM
+    offset, active = GRAM, np.arange(n)  # active: places in the order whose buckets may hold several
     while offset < depth:
-        active = order[np.bincount(pointer, minlength=n)[pointer[order]] > 1]
+        bucket = pointer[order[active]]
+        new = np.r_[True, bucket[1:] != bucket[:-1]]
+        active = active[~(new & np.r_[new[1:], True])]
+        bucket = pointer[order[active]]
         # buckets one after the other, in a few shares: each reads the pointers that those before it have left
-        cuts = np.unique(np.searchsorted(pointer[active], np.linspace(0, n, 5).astype(np.int64)))
+        cuts = np.unique(np.searchsorted(bucket, np.linspace(0, n, 5).astype(np.int64)))
         for s, e in zip(cuts, cuts[1:]):
-            own = active[s:e]
+            own = order[active[s:e]]
             later = own + offset
-            key = np.where(later < ends[own], pointer[np.minimum(later, n - 1)], -1)
-            by = np.lexsort((key, pointer[own]))
-            own, key, bucket = own[by], key[by], pointer[own][by]
-            first = np.r_[True, bucket[1:] != bucket[:-1]]
-            split = first | np.r_[True, key[1:] != key[:-1]]
-            start = np.flatnonzero(first)[np.cumsum(first) - 1]
-            pointer[own] = bucket + np.flatnonzero(split)[np.cumsum(split) - 1] - start
-        order = np.argsort(pointer, kind="stable")
+            key = bucket[s:e] * (n + 1) + np.where(later < ends[own], pointer[np.minimum(later, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            own, key, here = own[by], key[by], bucket[s:e]
+            first, split = np.r_[True, here[1:] != here[:-1]], np.r_[True, key[1:] != key[:-1]]
+            order[active[s:e]] = own
+            pointer[own] = here + np.flatnonzero(split)[np.cumsum(split) - 1] - np.flatnonzero(first)[np.cumsum(first) - 1]
         offset *= 2
     return pointer
 
