@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import parts, shared_dir, stage
+from .common import parts, shared_dir, sliced, stage
 
 LENGTH, Q = 100, 40
 #: Bytes of the first buckets of the refinement; buckets of one step, by their bytes.
@@ -319,7 +319,7 @@ def _names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bundle(batches):
     """The rows of each part and batch, equal ones once, as one compressed Arrow stream, which takes far less room in a shuffle."""
-    for batch in batches:
+    for batch in sliced(batches, "text", 8 << 20):
         part, doc, own = (batch.column(c).to_numpy() for c in ("part", "doc", "own"))
         order = np.lexsort((own, doc, part))
         new = np.ones(len(order), bool)
@@ -364,7 +364,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("own"), "text")
 
     def scan(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text", 8 << 20):
             data, offsets = ts.utf8(batch.column("text"))
             records, bucket = _scan_rows(data, offsets, batch.column("doc").to_numpy(), batch.column("own").to_numpy())
             yield _batch(list(_route(records, bucket, n)))

@@ -128,6 +128,62 @@ def test_planted_leaks_are_found_and_counted(spark):
             assert fewest_edits(norm(by_item[item]), norm(texts[doc][r.start : r.end])) == r.edits
 
 
+def within_budget(item, text):
+    """By dynamic programming: whether a piece of the item lies in the text within its budget."""
+    d, norm = decontaminate, lambda t: re.sub(r"[ \t\n\r\f\v]+", " ", t).lower()
+    item, text = norm(item).strip(" "), norm(text)
+    cuts = [0] if len(item) <= d.WHOLE else sorted({*range(0, len(item) - d.PIECE, d.STEP), len(item) - d.PIECE})
+    pieces = [item[c : c + (d.PIECE if len(item) > d.WHOLE else len(item))] for c in cuts]
+    return len(item) >= d.LEAST and any(fewest_edits(p, text) <= min(int(d.RATE * len(p)), (len(p) - d.Q) // d.Q) for p in pieces)
+
+
+def test_all_pairs_within_the_budget_and_no_others(spark):
+    rng = random.Random(18)
+    items = [(i, words(600 + i, rng.choice([2, 4, 7, 12, 16, 26]))) for i in range(30)] + [(40, "a" * 100), (41, "ab " * 30), (42, "x" * 15)]
+    docs = [(i, words(700 + i, rng.randint(0, 15)) + " " + _edited(rng.choice(items)[1], rng.randint(0, 16), rng) + " " + words(800 + i, 5)) for i in range(60)]
+    docs += [(100, "a" * 400), (101, "ab  AB\n" * 60), (102, items[5][1][10:140]), (103, "x" * 40)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in docs for i, b in items if within_budget(b, t)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == want and len(want) > 20
+
+
+def test_long_and_low_entropy_texts_in_steps(monkeypatch):
+    import pyarrow as pa
+
+    index = decontaminate.Index([(1, "a" * 100), (2, words(5, 20)), (3, words(6, 60))])
+    rng, item = random.Random(3), words(6, 60)
+    texts = ["a" * 5000, "é" * 3000 + words(5, 20) + "b" * 4000, words(7, 1500) + " " + item[40:180] + " " + words(8, 900), "".join(rng.choices("ab", k=6000))]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    whole = decontaminate._search(index, batch)
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)
+    assert decontaminate._search(index, batch) == whole
+    monkeypatch.setattr(decontaminate, "STRETCH", 700)
+    for i, t in enumerate(texts):
+        assert [h[1:] for h in decontaminate._search(index, pa.RecordBatch.from_pydict({"text": [t]}))] == [h[1:] for h in whole if h[0] == i]
+
+
+def test_memory_does_not_follow_repetition():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    index = decontaminate.Index([(1, "a" * 100)])
+    tracemalloc.start()
+    assert decontaminate._search(index, pa.RecordBatch.from_pydict({"text": ["a" * 1_000_000]}))[0][1:] == (1, 0, 100, 0, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+
+
+def test_excerpts_of_a_stated_length_are_found():
+    import pyarrow as pa
+
+    item = words(31, 80)
+    index, size = decontaminate.Index([(1, item)]), decontaminate.PIECE + decontaminate.STEP - 1
+    texts = [words(32, 20) + " " + item[i : i + size] + " " + words(33, 20) for i in range(len(item) - size)]
+    assert [h[0] for h in decontaminate._search(index, pa.RecordBatch.from_pydict({"text": texts}))] == list(range(len(texts)))
+
+
 def test_leaks_of_the_table(spark):
     rows = duckdb.execute(f"SELECT d.doc_id, b.item_id FROM '{DATA}/documents.parquet' d JOIN '{DATA}/benchmark.parquet' b ON contains(d.text, b.text)").fetchall()
     assert set(rows) == {(r.doc_id, r.item_id) for r in decontaminate.op2_benchmark_decontamination(spark, DATA).collect()}
