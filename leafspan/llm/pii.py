@@ -50,7 +50,7 @@ ROUNDS = 40
 _TITLES = {"m": "Mr Herr Monsieur Sr Señor Sir Signor Г-н Господин Κύριος Κος", "f": "Mrs Ms Miss Frau Madame Mme Mlle Sra Señora Lady Signora Г-жа Госпожа Κυρία Κα", "n": "Dr Prof Professor"}
 _TITLES = {g: "|".join(dict.fromkeys([*names.split(), *names.upper().split()])) for g, names in _TITLES.items()}
 _ANY_TITLE = "|".join(_TITLES.values())
-_KEYWORD = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?"
+_KEYWORD = r"(?=[AaPpSsTt])(?i:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|auth)[_-]?key)[\"']?"
 _ASSIGN = _KEYWORD + r"\s{0,3}[:=]\s{0,3}[\"']?"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 _ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}(?![A-Za-z0-9])"
@@ -72,8 +72,10 @@ _NO_NAME = "A|An|And|At|But|He|Her|His|I|If|In|It|No|Of|On|Our|She|That|The|They
 _WORD = rf"(?!(?:{_NO_NAME})(?![\p{{L}}\p{{M}}]))\p{{Lu}}(?:[\p{{L}}\p{{M}}]{{1,40}}+(?:['’-]\p{{Lu}}[\p{{L}}\p{{M}}]{{0,40}}+){{0,3}}|['’]\p{{Lu}}[\p{{L}}\p{{M}}]{{1,40}}+)"
 _PARTICLES = r"(?:(?:van|von|der|den|de|la|le|du|da|di|del|dos|ter|ten|zu|bin|ibn|al|el) ){0,3}"
 _NAME = rf"(?<![\p{{L}}])(?:{_ANY_TITLE})\.? (?:{_WORD} )?{_PARTICLES}{_WORD}"
-PATTERN = "|".join(f"(?:{p})" for p in (_SECRET, _EMAIL, _ACCESS, _IP6, _IP, _IBAN, _PHONE, _CARD, _SSN, _NAME))
-_TRACE = rf"[0-9@]|(?:{_ANY_TITLE})\.? (?:{_PARTICLES})\p{{Lu}}|{_ASSIGN}"
+_any = "|".join
+#: What can begin inside a word, at a word's start, or with a sign; a look at the first character spares most places the rest.
+PATTERN = _any([f"(?:{_SECRET})", rf"(?<![A-Za-z0-9])(?=[\p{{L}}0-9:])(?:{_any([_EMAIL, _ACCESS, _IP6, _IBAN])})", rf"(?=[0-9+(])(?:{_any([_IP, _PHONE, _CARD, _SSN])})", rf"(?=\p{{Lu}}){_NAME}"])
+_TRACE = rf"[0-9@]|(?=\p{{Lu}})(?:{_ANY_TITLE})\.? (?:{_PARTICLES})\p{{Lu}}|{_ASSIGN}"
 
 #: Given names by gender and script, surnames by script; fixed values.
 GIVEN = {
@@ -142,8 +144,8 @@ def find_entities(df: DataFrame) -> DataFrame:
     more, with the names as a last alternative.
     """
     none = F.array().cast(_ENTITY)
-    first = F.when(F.col("text").rlike(_TRACE), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    df = df.withColumn("_first", F.when(F.size(first) > 0, first))
+    df = df.withColumn("_all", F.when(F.col("text").rlike(_TRACE), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    df = df.withColumn("_first", F.when(F.size("_all") > 0, F.col("_all")))
     no_names = F.array().cast(_NAMES)
     df = df.withColumn("_read", F.transform("_first", lambda e: _read(e, no_names)))
     people = F.filter(F.flatten(F.transform("_read", lambda r: r["pieces"])), lambda p: p["type"].rlike("^(?:given|surname)"))
@@ -155,7 +157,7 @@ def find_entities(df: DataFrame) -> DataFrame:
     df = df.withColumn("gaps", F.when(people, F.split("text", again, -1)).when(F.size("_first") > 0, F.split("text", PATTERN, -1)))
     df = df.withColumn("own", F.when(people, F.transform(F.regexp_extract_all("text", again, F.lit(0)), lambda e: _read(e, F.col("_names")))).otherwise(F.col("_read")))
     found = F.exists("own", lambda e: F.size(e["pieces"]) > 0)
-    return df.withColumn("gaps", F.when(found, F.col("gaps"))).withColumn("own", F.when(found, F.col("own")).otherwise(none)).drop("_first", "_read", "_names")
+    return df.withColumn("gaps", F.when(found, F.col("gaps"))).withColumn("own", F.when(found, F.col("own")).otherwise(none)).drop("_all", "_first", "_read", "_names")
 
 
 def _draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
