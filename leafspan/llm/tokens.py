@@ -18,6 +18,14 @@ def _spec(path: str) -> dict:
         return json.load(f)
 
 
+def vocabulary(path: str) -> int:
+    """One more than the largest id."""
+    spec = _spec(path)
+    vocab = spec["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return max([*ids, *(t["id"] for t in spec.get("added_tokens", []))], default=0) + 1
+
+
 @functools.cache
 def encoder(path: str, plain: bool = False):
     """A function from a text to its ids (unsigned 32-bit), special tokens not added.

@@ -59,6 +59,63 @@ def test_neighbours_share_words():
     assert len(windows) == 8 and all(len({doc % 8 for doc, _, _ in w}) == 1 for w in windows)
 
 
+def bm25(rests, query):
+    """Scores of all leftovers for one of them, by the formula."""
+    from collections import Counter
+
+    held, mean = Counter(t for r in rests for t in set(r.tolist())), sum(map(len, rests)) / len(rests)
+    out = []
+    for r in rests:
+        times = Counter(r.tolist())
+        out.append(sum(np.log1p((len(rests) - held[t] + 0.5) / (held[t] + 0.5)) * times[t] * 2.2 / (times[t] + 1.2 * (0.25 + 0.75 * len(r) / mean)) for t in set(rests[query].tolist()) if t in times))
+    return np.array(out)
+
+
+def test_scores_equal_the_formula():
+    rng = np.random.default_rng(8)
+    rests = [(rng.zipf(1.4, int(rng.integers(1, 120))) % 500).astype(np.uint32) for _ in range(60)]
+    first, count, docs, weights, terms, of, dense = packing._index(rests, packing.Statistics.of(rests, 500))
+    for seed in range(60):
+        score = dense[seed].astype(float)
+        for t in terms[of[seed] : of[seed + 1]]:
+            np.add.at(score, docs[first[t] : first[t] + count[t]], weights[first[t] : first[t] + count[t]])
+        want = bm25(rests, seed)
+        others = np.arange(60) != seed  # tokens of one leftover alone are not indexed
+        assert np.allclose(score[others], want[others], rtol=1e-4, atol=1e-4)
+
+
+def test_neighbours_share_a_shard(spark, monkeypatch):
+    """The ten nearest of an index over all documents, and how many of them lie in the seed's own shard."""
+    monkeypatch.setattr(packing, "SHARD", 128)
+    rng = np.random.default_rng(9)
+    common, topics = rng.integers(0, 200, 4000), [rng.integers(200 + 150 * t, 200 + 150 * t + 150, 200) for t in range(60)]
+    rests = [np.r_[rng.choice(common, 60), rng.choice(topics[i % 60], 80)].astype(np.uint32) for i in range(1800)]
+    held = spark.createDataFrame([(i, len(r), bytearray(r.astype("<u4").tobytes())) for i, r in enumerate(rests)], "doc_id long, n long, ids binary")
+    statistics = packing.Statistics.of(rests, 10_000)
+    shard = {r.doc_id: r.shard for r in packing.deal(held, statistics).collect()}
+    sizes = np.unique(list(shard.values()), return_counts=True)[1]
+    assert len(sizes) > 8 and sizes.max() <= 200
+    near = together = 0
+    for seed in range(0, 1800, 90):
+        score = bm25(rests, seed)
+        score[seed] = -1
+        for other in np.argsort(-score, kind="stable")[:10]:
+            near, together = near + 1, together + (shard[int(other)] == shard[seed])
+    print("recall at 10", together / near)
+    assert together >= 0.9 * near
+
+
+def test_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 256)
+    rows = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same few words' AS text").union(spark.range(500).selectExpr("id", "concat('own ', id, ' words ', id * 7) AS text"))
+    pieces = packing.pack(rows, PATH).collect()
+    assert len([p for p in pieces if p.start == 0]) == 20_500
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence_id >> 26, set()).add((p.doc_id, p.sequence_id))
+    assert len(windows) > 60 and sum(p.length for p in pieces if p.doc_id is None) == 20_000 * pieces[0].doc_tokens if pieces[0].doc_id is None else True
+
+
 def test_shard_holds_every_id_once():
     rng = np.random.default_rng(3)
     rests = [rng.integers(0, 500, int(rng.integers(0, 1024))).astype(np.uint32) for _ in range(200)]
