@@ -14,7 +14,7 @@ tokens score: those that more than one in STOP leftovers of a shard hold by a ma
 product, the others by postings.
 
 Shards hold similar documents, so that a seed's neighbours lie in its own.  Each
-leftover is a vector of DIM numbers, its tokens' weights added by hash.  A tree of
+leftover is a vector of DIM numbers, its tokens' rarities added by hash.  A tree of
 k-means splits, fitted on about SAMPLE leftovers, deals all of them to leaves; a leaf
 that the sample cannot split further is dealt by each leftover's rarest token, so copies
 still meet.  What lands in one place is counted for all documents, and more than SHARD of
@@ -149,18 +149,19 @@ def _rests(batch: pa.RecordBatch, window: int) -> list[np.ndarray]:
 
 
 def _vectors(rests: list[np.ndarray], statistics: Statistics) -> tuple[np.ndarray, np.ndarray]:
-    """A vector of length one for each leftover, and its rarest token."""
-    token, doc, times = _held(rests)
-    sizes = np.array([len(r) for r in rests])
-    hashed = ts.mix(token.astype(np.uint64) + ts.U64(1))
-    sign = np.where(hashed >> ts.U64(63), 1.0, -1.0)
-    weight = statistics.weights(token, times, sizes[doc])
-    out = np.bincount(doc * DIM + (hashed % ts.U64(DIM)).astype(np.int64), weight * sign, len(rests) * DIM).reshape(-1, DIM).astype(np.float32)
+    """A vector of length one for each leftover, by the rarity of its tokens, and its rarest token."""
+    size = len(statistics.held)
+    hashed = ts.mix(np.arange(1, size + 1, dtype=np.uint64))
+    worth = np.log1p((statistics.documents - statistics.held + 0.5) / (statistics.held + 0.5)) * np.where(hashed >> ts.U64(63), 1.0, -1.0)
+    lengths = np.array([len(r) for r in rests])
+    tokens = np.concatenate([np.zeros(0, np.int64), *rests]).astype(np.int64)
+    at = np.repeat(np.arange(len(rests)) * DIM, lengths) + (hashed % ts.U64(DIM)).astype(np.int64)[tokens]
+    out = np.bincount(at, worth[tokens], len(rests) * DIM).reshape(-1, DIM).astype(np.float32)
     out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
-    order = np.lexsort((hashed, statistics.held[token], doc))
-    rarest = np.zeros(len(rests), np.int64)
-    firsts = order[np.r_[True, doc[order][1:] != doc[order][:-1]]] if len(order) else order
-    rarest[doc[firsts]] = token[firsts]
+    rarest, some = np.zeros(len(rests), np.int64), np.flatnonzero(lengths)
+    if len(some):
+        key = statistics.held.astype(np.int64)[tokens] << 32 | tokens
+        rarest[some] = np.minimum.reduceat(key, (np.cumsum(lengths) - lengths)[some]) & 0xFFFFFFFF
     return out, rarest
 
 
