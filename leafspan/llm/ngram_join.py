@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import blob_rows, components, grouped, parts, shared_dir, sliced, small, stage, unblob, unstage
+from .common import TASKS, blob_rows, components, grouped, parts, shared_dir, sliced, small, stage, unblob, unstage
 
 #: Counters of the sketch that orders shingles; its size never grows.
 SKETCH_BITS = 20
@@ -253,7 +253,7 @@ def verify_sets(sets: DataFrame, percent: int, n_parts: int) -> DataFrame:
     dealt = (sets.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "tokens"))
     keys = ["component", "i", "j"]
-    return dealt.repartition(n_parts, *keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long")
+    return dealt.repartition(min(n_parts, TASKS), *keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:

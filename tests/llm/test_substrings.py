@@ -95,25 +95,34 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
 def paragraphs(text):
-    """Spans and words of the paragraphs of a text, cut word by word."""
-    out = []
-    for m in re.finditer(r"[^\n]+", text or ""):
-        spans = [(x.start() + m.start(), x.end() + m.start()) for x in WORD.finditer(m.group())]
-        data = np.frombuffer(m.group().encode(), np.uint8)
+    """Spans, words and places of the paragraphs of a text, cut word by word."""
+    text, out = text or "", []
+    lines = [[(x.start() + m.start(), x.end() + m.start()) for x in WORD.finditer(m.group())] for m in re.finditer(r"[^\n]+", text)]
+    wholes, last = [], None
+    for line in filter(None, lines):
+        long = len(line) >= pd6.WRAP
+        if wholes and not long and not last:
+            wholes[-1] += line
+        else:
+            wholes.append(list(line))
+        last = long
+    parts, parted = [], []
+    for spans in wholes:
+        joined = " ".join(text[s:e] for s, e in spans)
+        data = np.frombuffer(joined.encode(), np.uint8)
         hashes, _ = ts.word_hashes(data, np.array([0, len(data)]))
         n = len(spans)
         pair = [None, *(int(ts.mix(hashes[i - 1 : i] * pd6._STEP + hashes[i : i + 1])[0]) for i in range(1, n))]
         cuts = [i for i in range(pd6.PARAGRAPH, n - pd6.PARAGRAPH + 1) if all(pair[i] < pair[j] for j in range(i - pd6.CUT, i)) and all(pair[i] <= pair[j] for j in range(i + 1, i + pd6.CUT + 1))]
-        for s, e in zip([0, *cuts], [*cuts, n]):
-            if e - s >= pd6.PARAGRAPH:
-                out.append((spans[s][0], spans[e - 1][1], e - s))
-    return out
+        parts += [(spans[s][0], spans[e - 1][1], e - s) for s, e in zip([0, *cuts], [*cuts, n]) if e - s >= pd6.PARAGRAPH]
+        parted += [(spans[0][0], spans[-1][1], n)] if cuts else []
+    return [*((*p, k) for k, p in enumerate(parts)), *((*p, pd6.WHOLE + k) for k, p in enumerate(parted))]
 
 
 def clusters(rows):
     lower, of, every = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s), defaultdict(list), []
     for d, t in rows:
-        for k, (s, e, n) in enumerate(paragraphs(t)):
+        for s, e, n, k in paragraphs(t):
             w = tuple(WORD.findall(lower(t[s:e])))
             of[w].append((d, k))
             every.append((d, k, s, e, n, w))
@@ -173,6 +182,47 @@ def test_paragraph_dedup_finds_a_passage_amid_a_line(spark):
     assert sum(found.get(i, False) for i in range(20, 40)) >= 19 and not any(i >= 100 for i in found)
 
 
+def touched(spark, rows):
+    """Words removed by document."""
+    found = pd6.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    texts, gone = dict(rows), {}
+    for r in found:
+        gone.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return {d: sum(1 for m in WORD.finditer(texts[d]) if m.start() in g) for d, g in gone.items()}
+
+
+def test_paragraph_dedup_finds_wrapped_passages_and_short_lines(spark):
+    wrap = lambda text, n: "\n".join(" ".join(text.split(" ")[i : i + n]) for i in range(0, len(text.split(" ")), n))
+    verse, prose = words(81, 72), words(82, 120)
+    rows = [(1, words(1, 60) + "\n" + wrap(verse, 6) + "\n" + words(2, 50)), (2, wrap(verse, 6)), (3, wrap(prose, 11)), (4, wrap(words(3, 30), 9) + "\n" + wrap(prose, 14) + "\n" + wrap(words(4, 30), 10))]
+    found = touched(spark, rows)
+    assert set(found) == {2, 4} and found[2] == 72 and found[4] >= 90
+
+
+def test_whole_paragraphs_link_at_four_fifths(spark):
+    """Paragraphs with words changed here and there: those of a similarity of 0.8 or more go whole."""
+    rng, rows, want = random.Random(9), [], set()
+    for i in range(60):
+        text = words(3000 + i, 120).split(" ")
+        other = list(text)
+        for at in rng.sample(range(120), rng.randint(0, 4)):
+            other[at] = "changed%d" % at
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+        a, b = ({tuple(t[j : j + 5]) for j in range(116)} for t in (text, other))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want.add(2 * i + 1)
+    found = touched(spark, rows)
+    whole = {d for d, n in found.items() if n == 120}
+    print("whole paragraphs found", len(want & whole) / len(want))
+    assert len(want & whole) >= 0.97 * len(want) and len(want) > 25 and whole <= want
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, words(4000 + i, 40)) for i in range(300)] + [(None, words(5000 + i % 10, 60) + " " + str(i)) for i in range(60)]
+    found = pd6.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(not r.removed and r.place >= pd6.WHOLE for r in found) == 10 and sum(r.removed and r.place >= pd6.WHOLE for r in found) == 50
+
+
 def test_paragraph_dedup_defined_cases(edges, empty):
     found = {(r.doc_id, r.keep_doc_id, r.removed) for r in pd6.repeated_paragraphs(edges).collect()}
     assert found == {(None, None, False), (3, None, True), (4, None, True)}
