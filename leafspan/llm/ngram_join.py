@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import TASKS, blob_rows, components, grouped, parts, shared_dir, sliced, small, stage, unblob, unstage
+from .common import TASKS, blob_rows, components, parts, shared_dir, sliced, small, stage, unblob, unstage
 
 #: Counters of the sketch that orders shingles; its size never grows.
 SKETCH_BITS = 20
@@ -49,6 +49,8 @@ FREQUENT, VERY_FREQUENT = 64, 4096
 LIST = 32
 #: Sets, and shingles, of one block of the verification.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
+#: Sets of a group up to which groups are verified many at once.
+FEW = 16
 
 
 def _sets(batch: pa.RecordBatch, k: int, text: str = "text"):
@@ -226,6 +228,73 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent:
     return out
 
 
+def _whole_groups(batches, keys: list[str]):
+    """Sorted Arrow batches as tables that hold whole runs of equal keys."""
+    held: list[pa.RecordBatch] = []
+    key = lambda batch, at: tuple(batch.column(k)[at].as_py() for k in keys)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            column = batch.column(k).to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if last == 0 and held and key(held[-1], 0) != key(batch, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _group_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the groups (component, i, j) of a table: small groups all at once, each of the others by itself."""
+    table = table.combine_chunks()
+    component, i, j, node, block = (table.column(c).to_numpy() for c in ("component", "i", "j", "node", "block"))
+    tokens = table.column("tokens").combine_chunks()
+    offsets, values = tokens.offsets.to_numpy().astype(np.int64), tokens.values.to_numpy().view(np.uint64)
+    new = np.r_[True, (component[1:] != component[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.r_[begin, len(node)])
+    small = (size <= FEW) & (i[begin] == j[begin])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows = np.flatnonzero(np.repeat(small & (size > 1), size))
+    for at in range(0, len(rows), 1 << 14):  # groups may be cut here, so take them to their end
+        lo, hi = (np.searchsorted(begin, rows[x], "right") - 1 if x < len(rows) else len(begin) for x in (at, at + (1 << 14)))
+        own = rows[np.searchsorted(rows, begin[lo]) : np.searchsorted(rows, begin[hi]) if hi < len(begin) else len(rows)]
+        n = offsets[own + 1] - offsets[own]
+        token = values[np.repeat(offsets[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        owner = np.repeat(own, n)
+        group = (np.cumsum(new) - 1)[owner]
+        order = np.lexsort((owner, token, group))
+        owner, token, group = owner[order], token[order], group[order]
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])][: len(token)])
+        length = np.diff(np.r_[first, len(token)])
+        left = np.repeat(length, length) - (np.arange(len(token)) - np.repeat(first, length))
+        pairs = [np.zeros(0, np.int64)]
+        for step in range(1, FEW):
+            here = np.flatnonzero(left > step)
+            if not len(here):
+                break
+            pairs.append(owner[here] * len(node) + owner[here + step])
+        pair, both = np.unique(np.concatenate(pairs), return_counts=True)
+        x, y = pair // len(node), pair % len(node)
+        linked = 100 * both >= percent * (offsets[x + 1] - offsets[x] + offsets[y + 1] - offsets[y] - both)
+        a.append(node[x[linked]])
+        b.append(node[y[linked]])
+    for g in np.flatnonzero(~small).tolist():
+        s, e = int(begin[g]), int(begin[g] + size[g])
+        if e - s > 1:
+            edges = np.array(_links(node[s:e], [values[offsets[r] : offsets[r + 1]] for r in range(s, e)], block[s:e], percent), np.int64).reshape(-1, 2)
+            a.append(edges[:, 0])
+            b.append(edges[:, 1])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def with_blocks(nodes: DataFrame) -> DataFrame:
     """Nodes (node, component, n) with the number of blocks their component is verified in."""
     size = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -234,20 +303,16 @@ def with_blocks(nodes: DataFrame) -> DataFrame:
 
 
 def verify_sets(sets: DataFrame, percent: int, n_parts: int) -> DataFrame:
-    """Spanning edges (a, b) of the links within components; sets: (node, component, blocks, tokens), tokens sorted and distinct.
+    """Edges (a, b) that span the links within components; sets: (node, component, blocks, tokens), tokens sorted and distinct.
 
     A component larger than a block is verified block by block and block pair by
     block pair, each in a group of bounded size.
     """
     def verify(batches):
-        for _, slices in grouped(batches, ["component", "i", "j"]):
-            table = pa.Table.from_batches(slices).combine_chunks()
-            tokens = table.column("tokens").combine_chunks()
-            offsets, values = tokens.offsets.to_numpy(), tokens.values.to_numpy().view(np.uint64)
-            found = [values[s:e] for s, e in zip(offsets[:-1], offsets[1:])]
-            edges = _links(table.column("node").to_numpy(), found, table.column("block").to_numpy(), percent) if len(found) > 1 else []
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+        for table in _whole_groups(batches, ["component", "i", "j"]):
+            a, b = _group_links(table, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     dealt = (sets.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
