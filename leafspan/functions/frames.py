@@ -113,9 +113,11 @@ def expand_to_frame(rgb: np.ndarray, box: tuple[int, int, int, int], outward: in
 
 
 def erase_corner_arcs(rgb: np.ndarray, window: int = 18, strong: int = SOFT_CHROMA, share: float = 0.6) -> np.ndarray:
-    """Coloured remains of round corners that touch the image's edge, painted over; large ones stay."""
+    """Coloured remains of round corners that touch the image's edge, painted over; large ones stay, as do images under 6 pixels."""
     out, (height, width) = rgb.copy(), rgb.shape[:2]
-    k = min(window, height, width)
+    k = min(window, height // 2, width // 2)
+    if min(height, width) < 6:
+        return out
     for down in (False, True):
         for across in (False, True):
             view = out[::-1] if down else out

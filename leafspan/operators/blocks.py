@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -83,6 +83,34 @@ def page_route(pages: DataFrame, book: str = "book", text: str = "text") -> Data
     return pages.groupBy(book).agg(F.count("*").alias("n_pages"), F.sum(n).cast("bigint").alias("n_chars"), F.count_if(n < IMAGE_PAGE).alias("image_pages"), (F.coalesce(F.avg(n), F.lit(0.0)) < IMAGE_PAGE).alias("ocr_needed"))
 
 
+def type_ranking(blocks: DataFrame, *order: str, kind: str = "block_type") -> DataFrame:
+    """Counts by type with their rank: the most frequent first, of equal ones the one seen first in ``order``."""
+    found = blocks.groupBy(kind).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "_first")).cast("bigint")).drop("_first")  # one row a type
+
+
+def layer_blocks(pages: DataFrame, texts: DataFrame, figures: DataFrame, book: str = "book") -> DataFrame:
+    """Blocks of a text layer in reading order: book, page, idx, block_type, x0, y0, x1, y1, text, image.
+
+    ``pages`` has text and has_image, ``texts`` idx, box and text, ``figures`` idx, box
+    and image (null where it could not be read; such figures are left out).  A page of
+    fewer than IMAGE_PAGE characters that has an image becomes that image alone.  Other
+    pages' texts lose page numbers and lone bullets, blank ones vanish, and texts and
+    figures merge by y0; equal ones keep texts before figures and their own order.
+    """
+    few = F.length(T.strip(F.coalesce(F.col("text"), F.lit("")))) < IMAGE_PAGE
+    whole = pages.where(few & F.coalesce(F.col("has_image"), F.lit(False))).select(book, "page").distinct()
+    box = ["x0", "y0", "x1", "y1"]
+    cleaned = F.array_join(text_layer(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")), "\n")
+    own = texts.select(book, "page", *box, F.lit(0).alias("_kind"), "idx", cleaned.alias("text"), F.lit(None).cast("string").alias("image")).where(T.strip("text") != "")
+    drawn = figures.where("image is not null").select(book, "page", *box, F.lit(1).alias("_kind"), "idx", F.lit("").alias("text"), "image")
+    merged = own.unionByName(drawn).join(whole, [book, "page"], "left_anti").join(pages.select(book, "page").distinct(), [book, "page"], "left_semi")
+    place = F.row_number().over(Window.partitionBy(book, "page").orderBy("y0", "_kind", "idx")) - 1
+    merged = merged.withColumn("idx", place.cast("bigint")).select(book, "page", "idx", F.when(F.col("_kind") == 0, "paragraph").otherwise("figure").alias("block_type"), *box, "text", "image")
+    picture = whole.select(book, "page", F.lit(0).cast("bigint").alias("idx"), F.lit("figure").alias("block_type"), *(F.lit(0.0).alias(c) for c in box), F.lit("").alias("text"), F.format_string("page_%04d_full.png", F.col("page")).alias("image"))
+    return merged.unionByName(picture)
+
+
 def type_histogram(blocks: DataFrame, page: str, kind: str = "block_type") -> DataFrame:
     """Counts by page and type, and by type alone (page null)."""
     return blocks.groupingSets([[page, kind], [kind]], page, kind).agg(F.count("*").alias("n"))

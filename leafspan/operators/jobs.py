@@ -56,6 +56,24 @@ def call_outcome(status: Column, good_body: Column, attempt: Column, attempts: i
 TRANSITIONS = {("pending", "processing"), ("processing", "processing"), ("processing", "done"), ("processing", "failed")}
 
 
+def stamp(rows: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """States with the job's stamps: created_at where it is new, started_at with its first processing, finished_at with its end."""
+    now = F.current_timestamp()
+    old = known.select(key, *(F.col(c).alias(f"_{c}") for c in ("created_at", "started_at", "finished_at")))
+    rows = rows.join(old, key, "left")
+    return rows.select(*(c for c in rows.columns if c not in ("_created_at", "_started_at", "_finished_at", "created_at", "started_at", "finished_at")), F.coalesce("_created_at", now).alias("created_at"),
+                       F.coalesce("_started_at", F.when(F.col("status") == "processing", now)).alias("started_at"), F.coalesce("_finished_at", F.when(F.col("status").isin("done", "failed"), now)).alias("finished_at"))
+
+
+#: What a look at one job shows.
+SHOWN = ("id", "status", "progress", "progress_stage", "progress_message", "title", "page_count", "error")
+
+
+def lookup(jobs: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """The wanted jobs with what is shown of them; unknown ones have nulls."""
+    return wanted.select(key).join(jobs.select(*SHOWN), key, "left")
+
+
 def transitions(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """How often each state followed each other one, and whether a job may do that."""
     before = F.lag("status").over(Window.partitionBy(key).orderBy(*order))

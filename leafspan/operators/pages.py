@@ -25,8 +25,8 @@ def fill(pages: DataFrame) -> DataFrame:
 
 
 def all_pages(books: DataFrame, layouts: DataFrame, book: str = "book") -> DataFrame:
-    """One row for each page 0 .. n_pages - 1 of each book, with its layout where there is one; of several the last counts."""
-    wanted = books.select(book, F.explode(F.expr("sequence(0L, n_pages - 1L)")).alias("page"))
+    """One row for each page 0 .. n_pages - 1 of each book, with its layout where there is one; of several the last counts; a book of no pages has no rows."""
+    wanted = books.where("n_pages > 0").select(book, F.explode(F.expr("sequence(0L, n_pages - 1L)")).alias("page"))
     last = layouts.groupBy(book, "page").agg(F.max_by(F.struct("has_layout", "n_blocks"), "layout_idx").alias("l")).select(book, "page", "l.*")
     return wanted.join(last, [book, "page"], "left")
 
@@ -64,6 +64,11 @@ def rebase(index: Column | str, chunk: Column | str, size: int = 40) -> Column:
     return chunk * size + F.coalesce(index, F.lit(0))
 
 
+def union_chunks(chunks: DataFrame, index: str = "index", chunk: str = "chunk", size: int = 40) -> DataFrame:
+    """The pages of all chunks of a book as one table, numbered in the book, in place of index and chunk."""
+    return chunks.withColumn("page", rebase(index, chunk, size)).drop(index, chunk)
+
+
 def encoded_mb(n_bytes: Column | str) -> Column:
     """Size of a request body in base64."""
     n = F.col(n_bytes) if isinstance(n_bytes, str) else n_bytes

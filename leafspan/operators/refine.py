@@ -12,10 +12,16 @@ from .blocks import REFINED
 PAD = 6
 
 
+def last_dims(dims: DataFrame, book: str = "book") -> DataFrame:
+    """One row a page: the last by dim_idx, where there is such a column, else the one with the greatest sizes."""
+    order = ["dim_idx"] if "dim_idx" in dims.columns else ["width", "height", "ref_width", "ref_height"]
+    return dims.groupBy(book, "page").agg(F.max_by(F.struct("width", "height", "ref_width", "ref_height"), F.struct(*order)).alias("d")).select(book, "page", "d.*")
+
+
 def targets(blocks: DataFrame, dims: DataFrame, book: str = "book") -> DataFrame:
-    """Blocks to read again, with their crop and their ordinal in the book; dims: one row a page, with image and reference size."""
+    """Blocks to read again, with their crop and their ordinal in the book; dims: image and reference size by page, of several rows the last by dim_idx."""
     placed = (F.col("x0") != 0) | (F.col("y0") != 0) | (F.col("x1") != 0) | (F.col("y1") != 0)
-    rows = blocks.where(F.col("block_type").isin(*REFINED) & placed).join(dims, [book, "page"])
+    rows = blocks.where(F.col("block_type").isin(*REFINED) & placed).join(last_dims(dims, book), [book, "page"])
     box = scale_box("x0", "y0", "x1", "y1", "width", "height", "ref_width", "ref_height")
     rows = rows.withColumn("crop", padded(box, "width", "height", PAD)).where("crop is not null")
     return rows.withColumn("ordinal", (F.row_number().over(Window.partitionBy(book).orderBy("page", "idx")) - 1).cast("bigint"))

@@ -26,14 +26,14 @@ def divider_entries(blocks: DataFrame, book: str = "book") -> DataFrame:
     rest = page.orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumns({"n": F.count_if("divides").over(page), "next": F.first("text").over(rest)}).where("divides and n = 1")
     title = F.concat_ws(" ", "text", "next")
-    return rows.select(book, "page", T.clip_title(T.to_plain(title)).alias("title"), F.lit(1).cast("bigint").alias("level"))
+    return rows.select(book, "page", T.clip_title(T.to_plain(title)).alias("title"), F.lit(1).cast("bigint").alias("level"), F.col("idx").cast("bigint").alias("entry"))
 
 
 def fallback_entries(blocks: DataFrame, book: str = "book") -> DataFrame:
     """Each page's first heading, if it has no level or the first."""
     rank = F.row_number().over(Window.partitionBy(book, "page").orderBy("idx"))
     rows = headings(blocks).withColumn("_rank", rank).where("_rank = 1 and level in (0, 1)")
-    return rows.select(book, "page", T.clip_title(T.to_plain("text")).alias("title"), F.greatest(F.col("level"), F.lit(1)).cast("bigint").alias("level"))
+    return rows.select(book, "page", T.clip_title(T.to_plain("text")).alias("title"), F.greatest(F.col("level"), F.lit(1)).cast("bigint").alias("level"), F.col("idx").cast("bigint").alias("entry"))
 
 
 def books_with_dividers(blocks: DataFrame, book: str = "book") -> DataFrame:
@@ -42,12 +42,12 @@ def books_with_dividers(blocks: DataFrame, book: str = "book") -> DataFrame:
 
 
 def contents(blocks: DataFrame, marks: DataFrame | None = None, book: str = "book") -> DataFrame:
-    """Entries by the first source that a book has: bookmarks, dividers, first headings."""
+    """Entries (book, page, title, level, entry) by the first source that a book has: bookmarks, dividers, first headings; entry is their order."""
     divided = books_with_dividers(blocks, book)
     found = divider_entries(blocks, book).unionByName(fallback_entries(blocks, book).join(divided, book, "left_anti"))
     if marks is None:
         return found
-    own = bookmarks(marks, book).select(book, "page", "title", "level")
+    own = bookmarks(marks, book).select(book, "page", "title", "level", F.col("entry").cast("bigint").alias("entry"))
     return own.unionByName(found.join(own.select(book).distinct(), book, "left_anti"))
 
 
@@ -60,10 +60,11 @@ def chapters(entries: DataFrame, pages: DataFrame, book: str = "book") -> DataFr
 
     A page belongs to the last entry at or before it, pages before the first entry to a
     chapter of their own, all pages of a book without entries to one chapter.  Of two
-    entries on a page the later holds it.  The last chapter runs to the end whatever
+    entries on a page the later, by entry, holds it (by title where entries are equal).  The last chapter runs to the end whatever
     pages are missing.  One window over a book's pages does it, without a range join.
     """
-    marks = entries.withColumn("_n", F.row_number().over(Window.partitionBy(book, "page").orderBy(F.desc("title")))).where("_n = 1").select(book, "page", "title")
+    order = [c for c in ("entry", "title") if c in entries.columns]
+    marks = entries.groupBy(book, "page").agg(F.max_by("title", F.struct(*order)).alias("title"))
     rows = pages.select(book, "page").join(marks, [book, "page"], "full_outer").join(pages.select(book, "page", F.lit(True).alias("_there")), [book, "page"], "left")
     before = Window.partitionBy(book).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"any": F.count("title").over(Window.partitionBy(book)), "seen": F.count("title").over(before), "name": F.last("title", True).over(before)}).where("_there")

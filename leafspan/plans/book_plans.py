@@ -13,6 +13,7 @@ from ..operators import reconstruct as reconstruction
 from ..operators import refine as R
 from ..operators import render, runs, spatial, toc
 from . import sqltext as Q
+from .text_plans import _FOLD, _KEPT, BULLETED
 from .tables import BLOCKS, LINES, PAGES, blocks, lines, pages, table
 
 _DIV = r"'^[ \t\n\r\f\v]*[0-9]+[ \t\n\r\f\v]*장[ \t\n\r\f\v]*$'"
@@ -23,26 +24,26 @@ _DIVIDERS = _HEADS + f""", dv AS (SELECT *, regexp_matches(text, {_DIV}) AS divi
 _FALLBACK = f""", fh AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY idx) AS rn FROM hd), fx AS (SELECT book, page, {Q.plain('text')} AS t, level FROM fh WHERE rn = 1 AND level IN (0, 1)),
   fb AS (SELECT book, page, {Q.clip('t')} AS title, CAST(greatest(level, 1) AS BIGINT) AS level FROM fx), db AS (SELECT DISTINCT book FROM dv WHERE divides)"""
 _TOC = _DIVIDERS + _FALLBACK + ", hc AS (SELECT * FROM di UNION ALL SELECT * FROM fb WHERE book NOT IN (SELECT book FROM db))"
-_MARKS = f", bm AS (SELECT book, greatest(page - 1, 0) AS page, {Q.strip('title')} AS title, level FROM (SELECT doc_id // 50 AS book, doc_id % 50 AS page, CAST(1 + doc_id % 2 AS BIGINT) AS level, CASE WHEN doc_id % 20 = 10 THEN ' ' ELSE '  Mark ' || doc_id || ' ' END AS title FROM documents WHERE doc_id // 50 % 5 = 4 AND doc_id % 10 = 0) WHERE {Q.strip('title')} <> '')"
-_CHAPTERS = """, en AS (SELECT book, page, max(title) AS title FROM ct GROUP BY 1, 2),
+_MARKS = f", bm AS (SELECT book, greatest(page - 1, 0) AS page, {Q.strip('title')} AS title, level, doc_id AS entry FROM (SELECT doc_id, doc_id // 50 AS book, CASE doc_id % 50 WHEN 20 THEN 40 ELSE doc_id % 50 END AS page, CAST(1 + doc_id % 2 AS BIGINT) AS level, CASE WHEN doc_id % 20 = 10 THEN ' ' WHEN doc_id % 50 = 20 THEN '  Zone ' || doc_id ELSE '  Mark ' || doc_id || ' ' END AS title FROM documents WHERE doc_id // 50 % 5 = 4 AND doc_id % 10 = 0) WHERE {Q.strip('title')} <> '')"
+_CHAPTERS = """, en AS (SELECT book, page, arg_max(title, entry) AS title FROM ct GROUP BY 1, 2),
   cp AS (SELECT p.book, p.page, (SELECT count(*) FROM en e WHERE e.book = p.book) AS any_, (SELECT count(*) FROM en e WHERE e.book = p.book AND e.page <= p.page) AS seen, (SELECT arg_max(title, page) FROM en e WHERE e.book = p.book AND e.page <= p.page) AS nm FROM pg p)"""
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookmarks of every fifth book."""
-    return pages(spark, sf_dir).where("book % 5 = 4 and doc_id % 10 = 0").selectExpr("book", "page", "doc_id AS idx", "1 + doc_id % 2 AS level", "CASE WHEN doc_id % 20 = 10 THEN ' ' ELSE concat('  Mark ', doc_id, ' ') END AS title")
+    """Bookmarks of every fifth book; some books have two on a page, of which the later one's title comes first in the alphabet."""
+    return pages(spark, sf_dir).where("book % 5 = 4 and doc_id % 10 = 0").selectExpr("book", "CASE page WHEN 20 THEN 40 ELSE page END AS page", "doc_id AS idx", "1 + doc_id % 2 AS level", "CASE WHEN doc_id % 20 = 10 THEN ' ' WHEN page = 20 THEN concat('  Zone ', doc_id) ELSE concat('  Mark ', doc_id, ' ') END AS title")
 
 
 def toc_dividers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.divider_entries(blocks(spark, sf_dir))
+    return toc.divider_entries(blocks(spark, sf_dir)).drop("entry")
 
 
 def toc_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.fallback_entries(blocks(spark, sf_dir))
+    return toc.fallback_entries(blocks(spark, sf_dir)).drop("entry")
 
 
 def toc_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.contents(blocks(spark, sf_dir), _marks(spark, sf_dir))
+    return toc.contents(blocks(spark, sf_dir), _marks(spark, sf_dir)).drop("entry")
 
 
 def first_divider(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +111,22 @@ def block_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.blocks_from_html(table(spark, sf_dir, "pages")).where(~F.col("block_type").isin(*B.HIDDEN)).select("page_id", "raw_idx", "block_type", "text")
 
 
+def type_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.type_ranking(B.blocks_from_html(table(spark, sf_dir, "pages")), "page_id", "raw_idx")
+
+
+def layer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lines a text block, with bullets and page numbers put in; two figures on every third page, of which some cannot be read."""
+    line = "CASE idx % 6 WHEN 1 THEN '•' WHEN 4 THEN '12' ELSE line END"
+    texts = lines(spark, sf_dir).selectExpr("book", "page", "idx", f"{line} AS line").groupBy("book", "page", F.expr("idx div 4 AS idx")).agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("a"))
+    box = lambda y: [F.lit(1.0).alias("x0"), y.cast("double").alias("y0"), F.lit(90.0).alias("x1"), F.lit(99.0).alias("y1")]
+    texts = texts.select("book", "page", "idx", *box(F.expr("idx * 7 % 5 * 10")), F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("text"))
+    figures = pages(spark, sf_dir).where("doc_id % 3 = 0").select("doc_id", "book", "page", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"))
+    figures = figures.select("book", "page", "idx", *box(F.col("idx") * 10 + 10), F.when((F.col("doc_id") % 4 != 0) | (F.col("idx") == 0), F.format_string("page_%04d_img_%03d.png", F.col("page"), F.col("idx") + 1)).alias("image"))
+    found = B.layer_blocks(pages(spark, sf_dir).withColumn("has_image", F.expr("doc_id % 13 <> 7")), texts.withColumn("idx", F.col("idx").cast("bigint")), figures.withColumn("idx", F.col("idx").cast("bigint")))
+    return found.select("book", "page", "idx", "block_type", "y0", "text", "image")
+
+
 def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.type_histogram(B.blocks_from_html(table(spark, sf_dir, "pages")), "page_id")
 
@@ -135,6 +152,7 @@ def refined_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine_text(spark, sf_dir).groupBy("book").agg(F.count_if("replaced").alias("n_replaced"), F.count("*").alias("n_targets"))
 
 
+_LAYER_KEPT, _LAYER_FOLD = _KEPT.replace(BULLETED, "ls"), _FOLD.replace(BULLETED, "ls")
 _REFINE = f"""WITH {LINES}, k AS (SELECT book, page, idx, line, CASE idx % 5 WHEN 1 THEN 'caption' WHEN 3 THEN 'footnote' ELSE 'paragraph' END AS t FROM ln),
   g AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, idx) - 1 AS ordinal, CAST(trunc((10 + idx) * 2.0) AS BIGINT) AS bx FROM k WHERE t <> 'paragraph' AND idx % 10 <> 3 AND page % 13 <> 7 AND greatest(0, CAST(trunc((10 + idx) * 2.0) AS BIGINT) - 6) < 186),
   a AS (SELECT item_id % 20 AS book, item_id // 20 AS ordinal, CASE WHEN item_id % 3 = 0 THEN ' ' ELSE ' ' || text END AS answer FROM benchmark),
@@ -268,7 +286,7 @@ def book_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.covers(found, toc.chapters(toc.contents(blocks(spark, sf_dir)), pages(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (toc_dividers, toc_fallback, toc_mode, first_divider, chapters, chapter_pages, page_route, fill_pages, replace_cover, replace_front, replace_design, raw_json_blocks, block_typing, type_histogram,
+QUERIES = {f.__name__: f for f in (toc_dividers, toc_fallback, toc_mode, first_divider, chapters, chapter_pages, page_route, fill_pages, replace_cover, replace_front, replace_design, raw_json_blocks, block_typing, type_histogram, type_ranking, layer_blocks,
                                    refine_text, refined_count, tint_runs, caption_pairs, line_owner, line_match_all, block_order, bbox_scale, chunk_rebase, page_ranges, pipeline_summary, chapter_xhtml, render_pages, reconstruct, reconstruct_summary, book_cover)}
 
 _NAME = "CASE WHEN any_ = 0 THEN '본문' WHEN seen = 0 THEN '서문' ELSE nm END"
@@ -283,8 +301,8 @@ SQL = {
     "toc_fallback": f"WITH {BLOCKS}{_DIVIDERS}{_FALLBACK} SELECT * FROM fb",
     "toc_mode": f"{_CT}{_MARKS} SELECT book, page, title, level FROM bm UNION ALL SELECT * FROM hc WHERE book NOT IN (SELECT book FROM bm)",
     "first_divider": f"WITH {BLOCKS}{_DIVIDERS} SELECT book, min(page) AS first_divider FROM di GROUP BY book",
-    "chapters": f"{_CT}{_MARKS}, ct AS (SELECT book, page, title FROM bm UNION ALL SELECT book, page, title FROM hc WHERE book NOT IN (SELECT book FROM bm)){_CHAPTERS}{_HELD} SELECT book, chapter, title, min(page) AS first_page, max(page) AS last_page, count(*) AS n_pages FROM ch GROUP BY 1, 2, 3",
-    "chapter_pages": f"{_CT}, ct AS (SELECT book, page, title FROM hc){_CHAPTERS}{_HELD} SELECT book, chapter, title, page FROM ch",
+    "chapters": f"{_CT}{_MARKS}, ct AS (SELECT book, page, title, entry FROM bm UNION ALL SELECT book, page, title, 0 FROM hc WHERE book NOT IN (SELECT book FROM bm)){_CHAPTERS}{_HELD} SELECT book, chapter, title, min(page) AS first_page, max(page) AS last_page, count(*) AS n_pages FROM ch GROUP BY 1, 2, 3",
+    "chapter_pages": f"{_CT}, ct AS (SELECT book, page, title, 0 AS entry FROM hc){_CHAPTERS}{_HELD} SELECT book, chapter, title, page FROM ch",
     "page_route": f"""WITH {PAGES}, n AS (SELECT book, length({Q.strip("coalesce(text, '')")}) AS n FROM pg), g AS (SELECT book, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_chars, count(*) FILTER (n < 50) AS image_pages, coalesce(avg(n), 0) < 50 AS ocr_needed FROM n GROUP BY book)
         SELECT *, book % 3 = 0 OR (book % 3 = 1 AND ocr_needed AND book % 2 = 0) AS uses_api FROM g""",
     "fill_pages": f"""WITH f AS ({_FACTS}), b AS (SELECT book, max(page) + 3 AS n FROM f GROUP BY book), w AS (SELECT book, unnest(range(n)) AS page FROM b),
@@ -302,6 +320,14 @@ SQL = {
         FROM h WHERE CASE WHEN block_type IN ('figure', 'formula') THEN img IS NOT NULL ELSE c <> '' AND NOT (length({Q.strip('title')}) = 1 AND NOT regexp_matches({Q.strip('title')}, '^[0-9가-힣]$')) END""",
     "block_typing": _HTML + "SELECT page_id, raw_idx, block_type, text FROM b WHERE block_type NOT IN ('page_header', 'page_footer')",
     "type_histogram": _HTML + "SELECT page_id, block_type, count(*) AS n FROM b GROUP BY GROUPING SETS ((page_id, block_type), (block_type))",
+    "type_ranking": _HTML + "SELECT block_type, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT block_type, count(*) AS n, min(struct_pack(a := page_id, b := raw_idx)) AS f FROM b GROUP BY 1)",
+    "layer_blocks": f"""WITH {LINES}, t AS (SELECT book, page, idx // 4 AS blk, list(CASE idx % 6 WHEN 1 THEN '•' WHEN 4 THEN '12' ELSE line END ORDER BY idx) AS ls FROM ln GROUP BY 1, 2, 3),
+        c AS (SELECT book, page, blk, CASE WHEN len({_LAYER_KEPT}) > 0 THEN {_LAYER_FOLD} ELSE '' END AS text FROM t),
+        w AS (SELECT book, page FROM pg WHERE length({Q.strip('text')}) < 50 AND doc_id % 13 <> 7),
+        e AS (SELECT book, page, blk * 7 % 5 * 10.0::DOUBLE AS y0, 0 AS kind, blk AS n, text, NULL AS image FROM c WHERE {Q.strip('text')} <> ''
+          UNION ALL SELECT book, page, i * 10.0::DOUBLE + 10, 1, i, '', format('page_{{:04d}}_img_{{:03d}}.png', page, i + 1) FROM (SELECT *, unnest(range(2)) AS i FROM pg WHERE doc_id % 3 = 0) WHERE doc_id % 4 <> 0 OR i = 0)
+        SELECT book, page, row_number() OVER (PARTITION BY book, page ORDER BY y0, kind, n) - 1 AS idx, CASE kind WHEN 0 THEN 'paragraph' ELSE 'figure' END AS block_type, y0, text, image FROM e WHERE (book, page) NOT IN (SELECT (book, page) FROM w)
+        UNION ALL SELECT book, page, 0, 'figure', 0.0::DOUBLE, '', format('page_{{:04d}}_full.png', page) FROM w""",
     "refine_text": _REFINE + "SELECT * FROM f",
     "refined_count": _REFINE + "SELECT book, count(*) FILTER (replaced) AS n_replaced, count(*) AS n_targets FROM f GROUP BY book",
     "tint_runs": _TINT,
@@ -317,6 +343,6 @@ SQL = {
     "page_ranges": "WITH s AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 7 AS b FROM documents UNION ALL SELECT doc_id, doc_id % 50, doc_id % 50 + 6 FROM documents UNION ALL SELECT doc_id, doc_id % 60 + 1, doc_id % 60 + 1 FROM documents) SELECT DISTINCT doc_id, p - 1 AS page FROM (SELECT doc_id, unnest(range(greatest(a, 1), least(b, 50) + 1)) AS p FROM s)",
     "pipeline_summary": f"{_CT}, n AS (SELECT book, length({Q.strip('text')}) AS n FROM pg), g AS (SELECT book, count(*) AS n_pages, avg(n) < 50 AS ocr_needed FROM n GROUP BY book), e AS (SELECT book, count(*) AS c FROM hc GROUP BY book) SELECT g.book, n_pages, ocr_needed, coalesce(c, 0) AS toc_count, round(n_pages * 0.004::DOUBLE, 6) AS cost FROM g LEFT JOIN e ON e.book = g.book",
     "book_cover": "SELECT doc_id // 50 AS book, 'cover-' || doc_id // 50 || '.png' AS image_path FROM documents WHERE doc_id % 50 = 0 AND doc_id // 50 % 4 = 0",
-    "chapter_xhtml": f"""{_CT}, ct AS (SELECT book, page, title FROM hc){_CHAPTERS}{_HELD}, x AS (SELECT book, page, idx, CASE WHEN block_type = 'heading' THEN '<' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' || {Q.xhtml(Q.strip('text'))} || '</' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' ELSE '<p>' || {Q.xhtml(Q.merged('text'))} || '</p>' END AS html FROM bl WHERE {Q.strip('text')} <> '')
+    "chapter_xhtml": f"""{_CT}, ct AS (SELECT book, page, title, 0 AS entry FROM hc){_CHAPTERS}{_HELD}, x AS (SELECT book, page, idx, CASE WHEN block_type = 'heading' THEN '<' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' || {Q.xhtml(Q.strip('text'))} || '</' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' ELSE '<p>' || {Q.xhtml(Q.merged('text'))} || '</p>' END AS html FROM bl WHERE {Q.strip('text')} <> '')
         SELECT ch.book, chapter, title, string_agg(html, chr(10) ORDER BY x.page, idx) AS body FROM x JOIN ch ON ch.book = x.book AND ch.page = x.page GROUP BY 1, 2, 3""",
 }

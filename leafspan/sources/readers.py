@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.blocks import PAGE_SCHEMA
@@ -15,8 +15,11 @@ def recorded_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
-    """Image files with their place in the order of their names (path, content, length)."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content", "length").orderBy("path")
+    """Image files (path, content, length) with their number in the order of their names; only names are sorted."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    folder, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.regexp_extract("path", "([^/]*)$", 1)
+    numbers = files.select("path", folder.alias("_folder"), name.alias("_name")).withColumn("number", F.row_number().over(Window.partitionBy("_folder").orderBy("_name")) - 1)
+    return files.select("path", "content", "length").join(numbers.select("path", "number"), "path")
 
 
 def write_page_dumps(lines: DataFrame, path: str) -> None:

@@ -242,3 +242,88 @@ def test_reconstruction_keeps_the_order_of_its_steps(spark):
     body = found["1장 Start"]
     assert body.index("page_0001_full.png") < body.index("<p>body</p>") < body.index("<p>end</p>") < body.index("page_0005_full.png") and "page_0003" not in body
     assert tuple(summary.first()) == (1, 6, 1)
+
+
+def test_later_of_two_entries_holds_the_page(spark):
+    entries = spark.createDataFrame([(1, 0, "Zebra", 0), (1, 0, "Apple", 1), (1, 2, "End", 2)], "book long, page long, title string, entry long")
+    found = toc.chapters(entries, spark.range(4).selectExpr("1L AS book", "id AS page")).orderBy("page").collect()
+    assert [r.title for r in found] == ["Apple", "Apple", "End", "End"]
+
+
+def test_books_without_pages_have_no_rows(spark):
+    from leafspan.operators import pages as P
+
+    books = spark.createDataFrame([(1, 2), (2, 0), (3, None)], "book long, n_pages long")
+    layouts = spark.createDataFrame([(1, 0, True, 3, 0), (1, 0, True, 5, 1), (2, 0, True, 1, 0)], "book long, page long, has_layout boolean, n_blocks long, layout_idx long")
+    assert [(r.book, r.page, r.n_blocks) for r in P.all_pages(books, layouts).orderBy("page").collect()] == [(1, 0, 5), (1, 1, None)]
+
+
+def test_last_dimensions_of_a_page_count(spark):
+    from leafspan.operators import refine
+
+    dims = spark.createDataFrame([(1, 0, 100, 100, 50, 50, 0), (1, 0, 80, 80, 40, 40, 1), (1, 1, 10, 10, 10, 10, 0)], "book long, page long, width long, height long, ref_width long, ref_height long, dim_idx long")
+    assert sorted((r.page, r.width) for r in refine.last_dims(dims).collect()) == [(0, 80), (1, 10)]
+    assert refine.last_dims(dims.drop("dim_idx")).count() == 2
+
+
+def test_chunks_are_one_table(spark):
+    from leafspan.operators import pages as P
+
+    chunks = spark.createDataFrame([(0, 0, "a"), (1, 3, "b"), (2, None, "c")], "chunk long, index long, text string")
+    assert sorted((r.page, r.text) for r in P.union_chunks(chunks).collect()) == [(0, "a"), (43, "b"), (80, "c")]
+
+
+def test_jobs_are_stamped_and_looked_up(spark):
+    from leafspan.operators import jobs as J
+
+    kind = "id string, status string, created_at timestamp, started_at timestamp, finished_at timestamp"
+    known = spark.createDataFrame([], kind)
+    first = J.stamp(spark.createDataFrame([("a", "pending"), ("b", "processing"), ("c", "done")], "id string, status string"), known).collect()
+    found = {r.id: (r.created_at is not None, r.started_at is not None, r.finished_at is not None) for r in first}
+    assert found == {"a": (True, False, False), "b": (True, True, False), "c": (True, False, True)}
+    again = J.stamp(spark.createDataFrame([("b", "done")], "id string, status string"), spark.createDataFrame(first, "id string, status string, created_at timestamp, started_at timestamp, finished_at timestamp")).first()
+    old = next(r for r in first if r.id == "b")
+    assert (again.created_at, again.started_at) == (old.created_at, old.started_at) and again.finished_at is not None
+    table = spark.createDataFrame([("a", "done", 100, None, None, "t", 3, None)], "id string, status string, progress int, progress_stage string, progress_message string, title string, page_count int, error string")
+    looked = {r.id: r.status for r in J.lookup(table, spark.createDataFrame([("a",), ("x",)], "id string")).collect()}
+    assert looked == {"a": "done", "x": None} and J.lookup(table, table).columns == list(J.SHOWN)
+
+
+def test_layer_blocks_merge_texts_and_figures(spark):
+    from leafspan.operators import blocks as B
+
+    long = "w" * 60
+    pages = spark.createDataFrame([(1, 0, long, True), (1, 1, " short ", True), (1, 2, None, False), (1, 3, long, False)], "book long, page long, text string, has_image boolean")
+    texts = spark.createDataFrame([(1, 0, 0, 20.0, "12\n•\nitem"), (1, 0, 1, 5.0, "top"), (1, 0, 2, 30.0, "7\n \n"), (1, 1, 0, 1.0, "gone"), (1, 2, 0, 1.0, "kept"), (9, 0, 0, 1.0, "no page")], "book long, page long, idx long, y0 double, text string")
+    figures = spark.createDataFrame([(1, 0, 0, 20.0, "f.png"), (1, 0, 1, 1.0, None), (1, 1, 0, 1.0, "g.png")], "book long, page long, idx long, y0 double, image string")
+    box = lambda d: d.selectExpr("*", "0.0D AS x0", "1.0D AS x1", "y0 + 1 AS y1")
+    found = B.layer_blocks(pages, box(texts), box(figures)).orderBy("page", "idx").collect()
+    assert [(r.page, r.idx, r.block_type, r.text, r.image) for r in found] == [(0, 0, "paragraph", "top", None), (0, 1, "paragraph", "• item", None), (0, 2, "figure", "", "f.png"), (1, 0, "figure", "", "page_0001_full.png"), (2, 0, "paragraph", "kept", None)]
+
+
+def test_small_images_keep_their_corners():
+    import numpy as np
+
+    from leafspan.functions import frames
+
+    tiny = np.zeros((5, 40, 3), np.uint8)
+    tiny[0, 0] = (255, 0, 0)
+    assert (frames.erase_corner_arcs(tiny) == tiny).all()
+
+
+def test_images_are_numbered_by_name(spark, tmp_path):
+    from leafspan.sources import readers
+
+    for name in ("b.png", "a.png", "c.png"):
+        (tmp_path / name).write_bytes(name.encode())
+    assert sorted((r.number, bytes(r.content)) for r in readers.images(spark, str(tmp_path)).collect()) == [(0, b"a.png"), (1, b"b.png"), (2, b"c.png")]
+
+
+def test_recorded_pages_and_jobs_are_read(spark, tmp_path):
+    from leafspan.sources import readers
+
+    (tmp_path / "r.json").write_text('{"model": "m", "pages": [{"index": 1, "markdown": "x", "blocks": [{"content": "hi", "type": "text"}]}]}')
+    assert [(r.model, r.page["index"], r.page.blocks[0].content) for r in readers.recorded_pages(spark, str(tmp_path / "r.json")).collect()] == [("m", 1, "hi")]
+    spark.createDataFrame([("a", "done")], "id string, status string").write.parquet(str(tmp_path / "jobs"))
+    row = readers.jobs(spark, str(tmp_path / "jobs")).first()
+    assert (row.id, row.status, row.client_ip) == ("a", "done", None)
