@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and what it holds."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -52,7 +53,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
     def clear():
         with contextlib.suppress(Exception):  # the JVM may be gone
-            _delete(spark, path)
+            delete(spark, path)
 
     atexit.register(clear)
     return path
@@ -71,7 +72,7 @@ def unstage(*tables: DataFrame) -> None:
     for table in tables:
         for found in {os.path.dirname(f) for f in table.inputFiles()}:
             if "/stage-" in found:
-                _delete(table.sparkSession, os.path.dirname(found))
+                delete(table.sparkSession, os.path.dirname(found))
 
 
 def input_bytes(df: DataFrame) -> int:
