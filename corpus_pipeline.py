@@ -14,13 +14,11 @@ follows the text.  Columns beside those of documents pass through.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspan.llm import decontaminate, langid, ngram_join, packing, pii
-from leafspan.llm.common import shared_dir, small, stage
+from leafspan.llm.common import delete, folder, small, stage
 
 #: Score under which a text belongs to none of the learned languages.
 MIN_SCORE = 0.2
@@ -84,11 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, function) in enumerate(STAGES):
-        path = f"{home}/{i}-{name}"
-        function(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents, each written to the shared folder; a stage's rows are deleted once the next one's are written, the last when the driver ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, function in STAGES:
+        written = folder(spark, f"pipeline-{name}")
+        function(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before:
+            delete(spark, before)
+        before = written
     return docs
