@@ -2,8 +2,9 @@
 
 ``store_png`` writes each payload as an 8-bit grey image, 64 samples a row, in
 zlib-compressed IDAT chunks.  ``read_png`` walks the chunks of each stored image,
-tests every CRC, inflates, removes the row filters with numpy and returns the
-samples' digests and a hash: a 32 x 32 area mean, its two-dimensional cosine
+tests every CRC, inflates, removes the row filters with numpy (any colour type and
+depth of the format, without interlace) and returns the samples' digests and a hash of
+their brightness: a 32 x 32 area mean, its two-dimensional cosine
 transform in fixed-point integers (equal on every machine), and one bit for each
 of the 8 x 8 lowest frequencies, set where it exceeds their median.
 
@@ -28,6 +29,10 @@ WIDTH, CHUNK = 64, 1 << 16
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
 #: Images above this many samples are refused on reading, so that a forged header cannot ask for memory.
 MOST_SAMPLES = 1 << 31
+#: Rows that are unfiltered together.
+BAND = 1024
+#: Channels and depths of the format's colour types; fixed values.
+COLOURS = {0: (1, (1, 2, 4, 8, 16)), 2: (3, (8, 16)), 3: (1, (1, 2, 4, 8)), 4: (2, (8, 16)), 6: (4, (8, 16))}
 _SIDE, _LOW = 32, 8
 _COS = np.round(np.cos(np.pi * (2 * np.arange(_SIDE)[None, :] + 1) * np.arange(_LOW)[:, None] / (2 * _SIDE)) * (1 << 14)).astype(np.int64)
 
@@ -61,41 +66,62 @@ def encode(samples: bytes, level: int = 1) -> bytes:
     return b"".join([SIGNATURE, _chunk(b"IHDR", head), *(_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK)), _chunk(b"IEND", b"")])
 
 
-def _unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Samples of filtered rows, one byte a sample; runs of rows of one kind are done together where no row needs the next."""
+def _unfilter(kinds: np.ndarray, rows: np.ndarray, bpp: int = 1) -> np.ndarray:
+    """Bytes of filtered rows, with bpp bytes a pixel; BAND rows at a time.
+
+    Where no row looks both left and up, runs of rows of one kind are sums.  Else all
+    pixels of an anti-diagonal are done together, as each needs the left, upper and
+    upper left one, whatever the kinds of the rows.
+    """
     if kinds.size and kinds.max() > 4:
         raise ValueError("unknown filter")
-    out = rows.copy()
-    cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
-    above = np.zeros(rows.shape[1], np.uint8)
-    for s, e in zip(cuts, cuts[1:]):
-        kind = kinds[s] if e > s else 0
-        if kind == 1:
-            out[s:e] = np.cumsum(rows[s:e], axis=1, dtype=np.uint8)
-        elif kind == 2:
-            out[s:e] = np.cumsum(np.vstack([above, rows[s:e]]), axis=0, dtype=np.uint8)[1:]
-        elif kind > 2:
-            for y in range(s, e):
-                line, up, left, corner = out[y], (out[y - 1] if y else np.zeros_like(out[y])).tolist(), 0, 0
-                for x, b in enumerate(up):
-                    if kind == 3:
-                        guess = (left + b) // 2
-                    else:
-                        p = left + b - corner
-                        near = (abs(p - left), abs(p - b), abs(p - corner))
-                        guess = (left, b, corner)[near.index(min(near))]
-                    left, corner = (int(line[x]) + guess) & 255, b
-                    line[x] = left
-        if e > s:
-            above = out[e - 1]
-    return out
+    out = np.empty_like(rows).reshape(len(rows), -1, bpp)
+    table = rows.reshape(out.shape)
+    above = np.zeros(out.shape[1:], np.uint8)
+    for at in range(0, len(rows), BAND):
+        own, kind = table[at : at + BAND], kinds[at : at + BAND]
+        if kind.max() > 2:
+            out[at : at + BAND] = _wavefront(kind, own, above)
+        else:
+            cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+            for s, e in zip(cuts, cuts[1:]):
+                before = out[at + s - 1] if s else above
+                if kind[s] == 1:
+                    done = np.cumsum(own[s:e], axis=1, dtype=np.uint8)
+                elif kind[s] == 2:
+                    done = np.cumsum(np.concatenate([before[None], own[s:e]]), axis=0, dtype=np.uint8)[1:]
+                else:
+                    done = own[s:e]
+                out[at + s : at + e] = done
+        above = out[min(at + BAND, len(rows)) - 1]
+    return out.reshape(rows.shape)
+
+
+def _wavefront(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Pixels of some rows (rows x pixels x bytes) of any filters, one anti-diagonal after the other."""
+    n, width, bpp = rows.shape
+    done = np.zeros((n + 1, width + 1, bpp), np.int16)
+    done[0, 1:] = above
+    for d in range(n + width - 1):
+        y = np.arange(max(0, d - width + 1), min(n, d + 1))
+        x = d - y
+        left, up, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        kind = kinds[y][:, None]
+        by_left, by_up, by_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+        guess = np.where(kind == 4, nearest, np.where(kind == 3, (left + up) // 2, np.where(kind == 2, up, np.where(kind == 1, left, 0))))
+        done[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return done[1:, 1:].astype(np.uint8)
 
 
 def decode(stored: bytes) -> np.ndarray:
-    """Samples (height x width) of an 8-bit grey PNG; ValueError if anything in it is wrong."""
+    """Samples of a PNG without interlace: height x width where it is grey, else height x width x channels; ValueError if anything in it is wrong.
+
+    Palettes are looked up; samples of less than 8 bits are one byte each, as stored.
+    """
     if stored[:8] != SIGNATURE:
         raise ValueError("no PNG")
-    at, head, data, ended = 8, None, [], False
+    at, head, data, palette, ended = 8, None, [], None, False
     while at + 12 <= len(stored) and not ended:
         size, kind = struct.unpack_from(">I4s", stored, at)
         body = stored[at + 8 : at + 8 + size]
@@ -103,22 +129,51 @@ def decode(stored: bytes) -> np.ndarray:
             raise ValueError("bad chunk")
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = body
         elif kind == b"IDAT":
             data.append(body)
         ended = kind == b"IEND"
         at += 12 + size
-    if not head or not ended or head[2:] != (8, 0, 0, 0, 0) or not 0 < head[0] * head[1] <= MOST_SAMPLES:
-        raise ValueError("not an 8-bit grey image without interlace")
-    width, height = head[:2]
+    if not head or not ended or head[4:] != (0, 0, 0):
+        raise ValueError("not an image without interlace")
+    width, height, depth, colour = head[:4]
+    channels, depths = COLOURS.get(colour, (0, ()))
+    if depth not in depths or not 0 < width * height * channels <= MOST_SAMPLES:
+        raise ValueError("unknown form or size")
+    line, bpp = -(-width * channels * depth // 8), max(1, channels * depth // 8)
     unpack = zlib.decompressobj()
     try:
-        lines = unpack.decompress(b"".join(data), height * (width + 1) + 1)
+        lines = unpack.decompress(b"".join(data), height * (line + 1) + 1)
     except zlib.error as e:
         raise ValueError("bad stream") from e
-    if len(lines) != height * (width + 1) or not unpack.eof:
+    if len(lines) != height * (line + 1) or not unpack.eof:
         raise ValueError("bad length")
-    table = np.frombuffer(lines, np.uint8).reshape(height, width + 1)
-    return _unfilter(table[:, 0].astype(np.int64), table[:, 1:])
+    table = np.frombuffer(lines, np.uint8).reshape(height, line + 1)
+    raw = _unfilter(table[:, 0].astype(np.int64), np.ascontiguousarray(table[:, 1:]), bpp)
+    if depth == 16:
+        samples = raw.view(">u2")
+    elif depth < 8:
+        bits = np.unpackbits(raw, axis=1).reshape(height, -1, depth)
+        samples = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)[:, : width * channels]
+    else:
+        samples = raw
+    if colour == 3:
+        if not palette or len(palette) % 3 or int(samples.max()) >= len(palette) // 3:
+            raise ValueError("bad palette")
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[samples]
+    return samples if channels == 1 else samples.reshape(height, width, channels)
+
+
+def brightness(samples: np.ndarray) -> np.ndarray:
+    """Height x width numbers of one byte: grey as it is, colours weighted, transparency left out."""
+    if samples.dtype.itemsize == 2:
+        samples = (samples >> 8).astype(np.uint8)
+    if samples.ndim == 2:
+        return samples
+    if samples.shape[2] < 3:
+        return samples[:, :, 0]
+    return ((samples[:, :, :3].astype(np.int64) * np.array([299, 587, 114])).sum(axis=2) // 1000).astype(np.uint8)
 
 
 def _bins(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +221,7 @@ def read_png(df: DataFrame, media_column: str = "media", keys: tuple[str, ...] =
         except (ValueError, struct.error):
             return False, None, None, None, None, *known, None
         back = samples.tobytes()
-        return True, samples.shape[1], samples.shape[0], hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), *known, cosine_hash(samples)
+        return True, samples.shape[1], samples.shape[0], hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), *known, cosine_hash(brightness(samples))
 
     def read(batches):
         for batch in batches:

@@ -162,6 +162,49 @@ def test_all_filters():
     assert (media._unfilter(np.array(kinds), np.array(out, np.uint8)) == rows).all()
 
 
+def filtered(raw, bpp, kinds):
+    """Rows as an encoder writes them, byte by byte."""
+    out, before = [], bytes(len(raw[0]))
+    for row, kind in zip(raw, kinds):
+        line = [kind]
+        for x, value in enumerate(row):
+            a, b, c = (row[x - bpp] if x >= bpp else 0), before[x], (before[x - bpp] if x >= bpp else 0)
+            p = a + b - c
+            near = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((value - (0, a, b, (a + b) // 2, near)[kind]) & 255)
+        out.append(bytes(line))
+        before = row
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("colour,depth", [(c, d) for c, (_, depths) in media.COLOURS.items() for d in depths])
+def test_all_forms_of_the_format(colour, depth, monkeypatch):
+    import struct
+
+    monkeypatch.setattr(media, "BAND", 7)
+    rng, (channels, _) = np.random.default_rng(colour * 20 + depth), media.COLOURS[colour]
+    width, height = 13, 24
+    samples = rng.integers(0, min(1 << depth, 200) if colour == 3 else 1 << depth, (height, width * channels))
+    bits = ((samples[:, :, None] >> np.arange(depth - 1, -1, -1)) & 1).astype(np.uint8).reshape(height, -1)
+    raw = [r.tobytes() for r in np.packbits(bits, axis=1)]
+    lines = filtered(raw, max(1, channels * depth // 8), [*rng.integers(0, 3, 7).tolist(), *rng.integers(0, 5, 17).tolist()])
+    palette = rng.integers(0, 256, (1 << depth if depth < 8 else 200, 3)).astype(np.uint8)
+    stored = b"".join([media.SIGNATURE, media._chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)), *([media._chunk(b"PLTE", palette.tobytes())] if colour == 3 else []), media._chunk(b"IDAT", zlib.compress(lines)), media._chunk(b"IEND", b"")])
+    found = media.decode(stored)
+    want = palette[samples] if colour == 3 else samples if channels == 1 else samples.reshape(height, width, channels)
+    assert (found == want).all() and media.brightness(found).shape == (height, width) and len(media.cosine_hash(media.brightness(found))) == 8
+
+
+def test_cosine_hash_by_the_plain_transform():
+    rng = np.random.default_rng(4)
+    for shape in ((64, 64), (96, 32), (320, 64)):
+        samples = rng.integers(0, 256, shape).astype(np.uint8)
+        mean = samples.reshape(32, shape[0] // 32, 32, shape[1] // 32).mean(axis=(1, 3))
+        low = np.array([[sum(mean[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]).ravel()
+        bits, margin = np.unpackbits(np.frombuffer(media.cosine_hash(samples), np.uint8)), np.abs(low - np.sort(low[1:])[31])
+        assert ((low > np.sort(low[1:])[31]) == bits)[margin > 1].all() and (margin > 1).sum() > 50
+
+
 def test_broken_media_read_as_invalid(spark):
     good = media.encode(media.pad(b"hello"))
     bad = [None, b"", good[:-1], good[:40] + bytes([good[40] ^ 1]) + good[41:], b"GIF" + good, good[:8] + good[8 + 25 :], media.SIGNATURE]
