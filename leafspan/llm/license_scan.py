@@ -106,6 +106,92 @@ TEXTS = [
     ("proprietary", "rights", r"all rights reserved", 1),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 2),
     ("copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]", 1),
+    ("mit", "sell", r"rights to use copy modify merge publish distribute sublicense and or sell copies of the software", 4),
+    ("mit", "substantial", r"shall be included in all copies or substantial portions of the software", 4),
+    ("mit", "noninfringement", r"fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders", 3),
+    ("mit-0", "attribution", r"mit no attribution(?: license)?", 3),
+    ("x11", "consortium", r"except as contained in this notice the name of the x consortium shall not be used", 4),
+    ("isc", "hereby", r"fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 4),
+    ("0bsd", "fee", r"with or without fee is hereby granted the software is provided as is", 4),
+    ("bsd-3-clause", "endorse", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products", 4),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display", 4),
+    ("bsd", "redistributions", r"redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice", 3),
+    ("bsd", "tort", r"theory of liability whether in contract strict liability or tort including negligence or otherwise", 2),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the license", 3),
+    ("apache-2", "basis", r"distributed on an as is basis without warranties or conditions of any kind", 3),
+    ("apache-2", "contributor", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 4),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation", 4),
+    ("gpl-2", "59", r"free software foundation inc 59 temple place", 3),
+    ("gpl-2", "franklin", r"free software foundation inc 51 franklin", 3),
+    ("gpl-2", "version", r"either version 2 of the license or at your option any later version", 4),
+    ("gpl-3", "version", r"either version 3 of the license or at your option any later version", 4),
+    ("gpl-2", "general", r"version 2 1991 of the gnu general public license", 4),
+    ("gpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", 4),
+    ("gpl", "received", r"you should have received a copy of the gnu general public license", 3),
+    ("gpl-3", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works", 4),
+    ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public license", 4),
+    ("lgpl-2.1", "version", r"either version 2 1 of the license or at your option any later version", 4),
+    ("lgpl-2", "library", r"gnu library general public license(?: version 2(?: 0)?)?", 2),
+    ("agpl-3", "received", r"you should have received a copy of the gnu affero general public license", 4),
+    ("agpl-3", "remotely", r"interacting with it remotely through a computer network", 3),
+    ("gfdl", "documentation", r"gnu free documentation license(?: version 1 [123])?", 2),
+    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts", 4),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 4),
+    ("mpl-2", "mozilla", r"you can obtain one at (?:http|https) mozilla org mpl 2 0", 4),
+    ("mpl-1.1", "contents", r"the contents of this file are subject to the mozilla public license version 1 1", 4),
+    ("epl-1", "eclipse", r"eclipse org legal epl v10", 4),
+    ("epl-2", "eclipse", r"eclipse org legal epl (?:v20|2 0)", 4),
+    ("cpl-1", "common", r"common public license(?: version| v)? 1 0", 3),
+    ("cddl-1", "common", r"the contents of this file are subject to the terms of the common development and distribution license", 4),
+    ("ms-pl", "microsoft", r"microsoft public license(?: ms pl)?", 3),
+    ("ms-rl", "microsoft", r"microsoft reciprocal license(?: ms rl)?", 3),
+    ("boost-1", "boost", r"distributed under the boost software license version 1 0", 4),
+    ("boost-1", "boost", r"boost org license 1 0 txt", 4),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 4),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such", 4),
+    ("unlicense", "unlicense", r"for more information please refer to (?:http|https) unlicense org", 4),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 4),
+    ("public-domain", "domain", r"(?:has been |is |are )?(?:placed|released|put) (?:in|into) the public domain", 3),
+    ("public-domain", "dedicate", r"dedicate any and all copyright interest in the software to the public domain", 4),
+    ("cc0", "waived", r"(?:has|have) waived all copyright and related or neighboring rights", 4),
+    ("cc0", "publicdomain", r"creativecommons org publicdomain zero 1 0", 4),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by [1-4] [05]", 4),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1-4] [05]", 4),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd [1-4] [05]", 4),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc [1-4] [05]", 4),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa [1-4] [05]", 4),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd [1-4] [05]", 4),
+    ("ofl-1.1", "scripts", r"scripts sil org ofl", 4),
+    ("ofl-1.1", "reserved", r"copyright (?:[^ ]+ ){1,12}with reserved font name", 4),
+    ("odbl-1", "opendatacommons", r"opendatacommons org licenses odbl", 4),
+    ("pddl-1", "opendatacommons", r"opendatacommons org licenses pddl", 4),
+    ("odc-by-1", "opendatacommons", r"opendatacommons org licenses by", 3),
+    ("python-2", "psf", r"psf license agreement for python", 4),
+    ("php-3", "php", r"php license(?: version)? 3(?: 0[01]?)?", 3),
+    ("ruby", "ruby", r"distributed under the (?:same )?terms (?:of|as) (?:the )?ruby(?: license)?", 3),
+    ("perl", "perl", r"under the same terms as perl itself", 4),
+    ("artistic-1", "artistic", r"the artistic license preamble", 4),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project", 4),
+    ("curl", "daniel", r"copyright c 1996 (?:20[0-9][0-9] )?daniel stenberg", 4),
+    ("ncsa", "illinois", r"university of illinois ncsa open source license", 4),
+    ("eupl-1.2", "european", r"european union public licen[cs]e(?: version| v)? 1 2", 3),
+    ("eupl-1.1", "european", r"european union public licen[cs]e(?: version| v)? 1 1", 3),
+    ("afl-3", "academic", r"academic free license(?: version| v)? 3 0", 3),
+    ("osl-3", "open", r"open software license(?: version| v)? 3 0", 3),
+    ("sspl-1", "server", r"server side public license(?: version| v)?(?: ?1)?", 3),
+    ("bsl-1.1", "business", r"business source license(?: version)? 1 1", 3),
+    ("elastic-2", "elastic", r"elastic license(?: version)? 2(?: 0)?", 3),
+    ("commons-clause", "commons", r"commons clause license condition v(?:ersion)? ?1 0", 4),
+    ("json", "evil", r"the software shall be used for good not evil", 4),
+    ("beerware", "beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer", 4),
+    ("proprietary", "information", r"this (?:file|software|document) contains (?:confidential and proprietary|trade secret|proprietary and confidential) information", 3),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution) (?:of this (?:file|software|document|material) )?(?:via any medium )?is strictly prohibited", 3),
+    ("proprietary", "permission", r"may not be (?:copied|reproduced|published|broadcast|rewritten)(?: (?:or|and) redistributed| [^ ]+){0,4} without (?:prior |express |the )*(?:written )?permission", 2),
+    ("noncommercial", "commercial", r"for non commercial (?:use|purposes) only", 2),
+    ("noncommercial", "noncommercial", r"for noncommercial (?:use|purposes) only", 2),
+    ("noncommercial", "academic", r"for academic (?:use|purposes) only", 2),
+    ("noncommercial", "research", r"for research (?:use|purposes) only", 2),
+    ("noncommercial", "commercial", r"(?:not for commercial use|no commercial use(?: is)? (?:permitted|allowed))", 2),
 ]
 
 
@@ -125,7 +211,7 @@ def _traces() -> str:
     cues = [before if not after or after.endswith("?") else after for before, after in (form.split("{}") for form, _ in FORMS)]
     cues += [keyword for label, keyword, _ in FAMILIES if keyword in _ALONE or label in _ALONE_LABELS]
     cues += [*(pattern for _, _, pattern, _ in TEXTS), *BASE]
-    return rf"(?i)(?:^|[{_SEP}])(?:{'|'.join(dict.fromkeys(c.strip() for c in cues))})".replace(" ", f"[{_SEP}]+")
+    return rf"(?i)(?:^|[{_SEP}])(?:{'|'.join(dict.fromkeys(c.strip() for c in cues))})".replace("[^ ]", f"[^{_SEP}]").replace(" ", f"[{_SEP}]+")
 
 
 def _words_in(piece: Column) -> Column:

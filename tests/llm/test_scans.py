@@ -249,9 +249,20 @@ def test_licenses_without_the_word(spark):
         assert ",".join(sorted(d.label for d in r.detections)) == texts[r.text] == ",".join(sorted(labels_by_hand(r.text)))
 
 
+def test_signature_texts(spark):
+    texts = {
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"": "0bsd,isc",
+        "You may not use this file except in compliance with the License.": "apache-2", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa", "Neither the name of Acme Corp nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "either version 3 of the License, or (at your option) any later version": "gpl-3", "Copyright 2010 The Foo Authors, with Reserved Font Name Foo": "ofl-1.1", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential": "proprietary",
+        "for academic use only": "noncommercial", "This material may not be published, broadcast, rewritten or redistributed without permission.": "proprietary", "the committee version of a copy": "",
+    }
+    for r in license_scan.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string"), keys=("text",)).collect():
+        assert ",".join(sorted({d.label for d in r.detections})) == texts[r.text] == ",".join(sorted(labels_by_hand(r.text))), r.text
+
+
 def test_hundreds_of_rules():
     rules = license_scan.rules()
-    assert len(rules) > 250 and all(re.compile(p) for *_, p, _ in rules)
+    assert len(rules) > 350 and all(re.compile(p) for *_, p, _ in rules)
 
 
 def test_license_defined_cases(spark, edges, edge_rows, empty):
