@@ -211,7 +211,12 @@ def _traces() -> str:
     cues = [before if not after or after.endswith("?") else after for before, after in (form.split("{}") for form, _ in FORMS)]
     cues += [keyword for label, keyword, _ in FAMILIES if keyword in _ALONE or label in _ALONE_LABELS]
     cues += [*(pattern for _, _, pattern, _ in TEXTS), *BASE]
-    return rf"(?i)(?:^|[{_SEP}])(?:{'|'.join(dict.fromkeys(c.strip() for c in cues))})".replace("[^ ]", f"[^{_SEP}]").replace(" ", f"[{_SEP}]+")
+    first: dict[str, list[str]] = {}  # by first letter, so a word is held against few of them
+    for cue in dict.fromkeys(c.strip() for c in cues):
+        alone = cue[0].isalnum() and cue[1:2] not in ("?", "*", "+", "{")
+        first.setdefault(cue[0] if alone else "", []).append(cue[1:] if alone else cue)
+    either = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in first.items())
+    return rf"(?i)(?:^|[{_SEP}])(?:{either})".replace("[^ ]", f"[^{_SEP}]").replace(" ", f"[{_SEP}]+")
 
 
 def _words_in(piece: Column) -> Column:
