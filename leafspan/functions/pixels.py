@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .frames import OCCUPANCY
 from .text import col
 
 BLANK, INK, CHROMA = 8, 235, 25
@@ -59,3 +60,17 @@ def background(pixels: Column | str) -> Column:
     good = (F.size(bright) >= BRIGHT_SHARE * F.size(pixels)) & (low <= WHITE) & (low >= DARK)
     whole = lambda v: F.bround(v, 0).cast("bigint")
     return F.when(good, F.struct(whole(r).alias("r"), whole(g).alias("g"), whole(b).alias("b")))
+
+
+def content_box(on: Column, width: int, occupancy: float = OCCUPANCY) -> Column:
+    """Inclusive (left, top, right, bottom) of the rows and columns of which more than a share is content; null if none is.
+
+    ``on`` says of each pixel, row by row, whether it is content.  No pixel leaves its row of the table.
+    """
+    height = (F.size(on) / width).cast("int")
+    across = lambda y: F.size(F.filter(F.slice(on, (y * width + 1).cast("int"), F.lit(width)), lambda p: p)) / F.lit(width)
+    down = lambda x: F.size(F.filter(F.sequence(F.lit(0), height - 1), lambda y: F.get(on, (y * width + x).cast("int")))) / height
+    rows = F.filter(F.sequence(F.lit(0), height - 1), lambda y: across(y) > occupancy)
+    columns = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: down(x) > occupancy)
+    box = F.struct(F.array_min(columns).alias("left"), F.array_min(rows).alias("top"), F.array_max(columns).alias("right"), F.array_max(rows).alias("bottom"))
+    return F.when((height > 0) & (F.size(rows) > 0) & (F.size(columns) > 0), box)

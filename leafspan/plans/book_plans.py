@@ -342,6 +342,12 @@ SQL = {
     "chunk_rebase": "SELECT doc_id // 40 AS chunk, min(doc_id // 40 * 40 + doc_id % 40) AS first_page, max(doc_id // 40 * 40 + doc_id % 40) AS last_page, round(CAST(sum(octet_length(encode(text))) AS DOUBLE) * 4 / 3 / 1048576, 6) AS mb FROM documents GROUP BY 1",
     "page_ranges": "WITH s AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 7 AS b FROM documents UNION ALL SELECT doc_id, doc_id % 50, doc_id % 50 + 6 FROM documents UNION ALL SELECT doc_id, doc_id % 60 + 1, doc_id % 60 + 1 FROM documents) SELECT DISTINCT doc_id, p - 1 AS page FROM (SELECT doc_id, unnest(range(greatest(a, 1), least(b, 50) + 1)) AS p FROM s)",
     "pipeline_summary": f"{_CT}, n AS (SELECT book, length({Q.strip('text')}) AS n FROM pg), g AS (SELECT book, count(*) AS n_pages, avg(n) < 50 AS ocr_needed FROM n GROUP BY book), e AS (SELECT book, count(*) AS c FROM hc GROUP BY book) SELECT g.book, n_pages, ocr_needed, coalesce(c, 0) AS toc_count, round(n_pages * 0.004::DOUBLE, 6) AS cost FROM g LEFT JOIN e ON e.book = g.book",
+    "reconstruct_summary": f"""WITH {BLOCKS.replace(", bl AS", ", b0 AS")}, f AS (SELECT *, page = 0 AND has_image AND NOT blank AND ink >= 0.5 AS cover FROM ({_FACTS})),
+        b1 AS (SELECT b0.*, n_blocks, single_figure, has_image, blank FROM b0 JOIN f ON f.book = b0.book AND f.page = b0.page WHERE has_layout AND NOT cover),
+        fd AS (WITH bl AS (SELECT * FROM b1){_DIVIDERS} SELECT book, min(page) AS fd FROM di GROUP BY book),
+        bl AS (SELECT b1.* FROM b1 LEFT JOIN fd ON fd.book = b1.book WHERE NOT (coalesce(page < fd, false) AND NOT single_figure AND has_image AND NOT blank) AND NOT (n_blocks = 0 AND NOT blank AND has_image)){_TOC}{_MARKS},
+        ct AS (SELECT book FROM bm UNION ALL SELECT book FROM hc WHERE book NOT IN (SELECT book FROM bm)), n AS (SELECT book, count(*) AS c FROM ct GROUP BY book)
+        SELECT f.book, count(*) AS n_pages, coalesce(any_value(c), 0) AS toc_count FROM f LEFT JOIN n ON n.book = f.book GROUP BY f.book""",
     "book_cover": "SELECT doc_id // 50 AS book, 'cover-' || doc_id // 50 || '.png' AS image_path FROM documents WHERE doc_id % 50 = 0 AND doc_id // 50 % 4 = 0",
     "chapter_xhtml": f"""{_CT}, ct AS (SELECT book, page, title, 0 AS entry FROM hc){_CHAPTERS}{_HELD}, x AS (SELECT book, page, idx, CASE WHEN block_type = 'heading' THEN '<' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' || {Q.xhtml(Q.strip('text'))} || '</' || CASE WHEN level <= 1 THEN 'h1' ELSE 'h2' END || '>' ELSE '<p>' || {Q.xhtml(Q.merged('text'))} || '</p>' END AS html FROM bl WHERE {Q.strip('text')} <> '')
         SELECT ch.book, chapter, title, string_agg(html, chr(10) ORDER BY x.page, idx) AS body FROM x JOIN ch ON ch.book = x.book AND ch.page = x.page GROUP BY 1, 2, 3""",

@@ -83,12 +83,10 @@ def bg_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as an 8 x 8 image: rows and columns with content, and the box that they span."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).select("vec_id", (F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), (F.abs(F.col("e").cast("double")) > 0.25).alias("on"))
-    counted = rows.groupBy("vec_id").agg(*(getattr(F, f)(F.when(F.col("on"), F.col(c))).cast("bigint").alias(n) for n, f, c in (("left_", "min", "x"), ("top_", "min", "y"), ("right_", "max", "x"), ("bottom_", "max", "y"))))
-    return counted.where("left_ is not null")
-
-
-_GREY = "height int, width int, rgb binary"
+    on = F.transform("embedding", lambda e: F.abs(e.cast("double")) > 0.25)
+    box = geometry.let(on, lambda x: pixels.content_box(x, 8))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", box.alias("box")).where("box is not null")
+    return rows.select("vec_id", *(F.col(f"box.{c}").cast("bigint").alias(f"{c}_") for c in ("left", "top", "right", "bottom")))
 
 
 def frame_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
