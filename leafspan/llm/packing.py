@@ -1,8 +1,9 @@
 """Lexical retrieval packing of documents into windows of tokens.
 
-Every document becomes its token ids and one end id.  Full windows of a long document
-are sequences of their own; what is left of each document is packed with similar
-leftovers.  Leftovers are dealt to shards, and in a shard an inverted index over their
+Every document becomes its token ids and one end id, staged by windows: a row holds one
+window's ids at most, however long the text.  Full windows of a long document are
+sequences of their own, numbered below zero, and are not shuffled; what is left of each
+document is packed with similar leftovers.  Leftovers are dealt to shards, and in a shard an inverted index over their
 tokens answers BM25 queries: each seed, longest first, asks for its unused neighbours,
 which fill its window in rank order as far as they fit; the best that does not fit is
 cut to fill it, and its rest stays unused.  So only the last window of a shard can have
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import TASKS, grouped, parts, shared_dir, sliced, small, stage
+from .common import ROWS, TASKS, grouped, parts, shared_dir, sliced, small, stage
 from .tokens import encoder, vocabulary
 
 WINDOW, SHARD, STOP, RANKED = 1024, 2048, 8, 32
@@ -281,48 +282,56 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WIND
     """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     shared_dir(df.sparkSession)
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
     def tokens(batches):
         encode = encoder(tokenizer_path)
         for batch in sliced(batches, "text"):
-            ids = [np.append(encode(t), np.uint32(end_id)) for t in batch.column("text").to_pylist()]
-            narrow = all(int(i.max()) < 1 << 16 for i in ids)
-            stored = [i.astype("<u2" if narrow else "<u4").tobytes() for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n", "ids"])
-
-    held = stage(docs.mapInArrow(tokens, "doc_id long, n long, ids binary"), "tokens")
-    statistics = _statistics(held, window, max(vocabulary(tokenizer_path), end_id + 1))
+            rows = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = np.append(encode(text), np.uint32(end_id))
+                ids = ids.astype("<u2") if int(ids.max()) < 1 << 16 else ids.astype("<u4")
+                rows += [(doc, len(ids), at, len(part), part.tobytes()) for at in range(0, len(ids), window) for part in [ids[at : at + window]]]
+            for at in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + ROWS]), (*[pa.int64()] * 4, pa.binary()))], ["doc_id", "total", "start", "n", "ids"])
+
+    held = stage(docs.mapInArrow(tokens, "doc_id long, total long, start long, n long, ids binary"), "tokens")
+    rests = held.where(F.col("n") < window)
+    statistics = _statistics(rests, window, max(vocabulary(tokenizer_path), end_id + 1))
     shared = df.sparkSession.sparkContext.broadcast(statistics)
 
+    def widen(batches):
+        for batch in batches:
+            ids = [np.frombuffer(body, "<u2" if len(body) == 2 * window else "<u4").astype("<u4").tobytes() for body in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(ids, pa.binary()), batch.column("total")], ["doc_id", "start", "length", "ids", "doc_tokens"])
+
     def fill(batches):
         for (shard,), slices in grouped(batches, ["shard"]):
             rows = []
             for batch in slices:
-                for doc, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
-                    body = ids.as_py()
-                    rows.append((doc is not None, doc or 0, n, body))
+                for doc, total, start, n, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "total", "start", "n", "ids"))):
+                    rows.append((doc is not None, doc or 0, total, start, n, body))
             rows.sort()
-            ids = [np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4") for _, _, n, body in rows]
-            whole = [len(i) // window * window for i in ids]
+            ids = [np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4") for *_, n, body in rows]
             out, sequence = [], int(shard) << 26
-            for r, body in enumerate(ids):
-                for start in range(0, whole[r], window):
-                    out.append((r, start, start + window, sequence, 0))
-                    sequence += 1
-            for pieces in pack_shard([i[w:] for i, w in zip(ids, whole)], window, shared.value):
+            for pieces in pack_shard(ids, window, shared.value):
                 offset = 0
                 for r, s, e in pieces:
-                    out.append((r, whole[r] + s, whole[r] + e, sequence, offset))
+                    out.append((r, s, e, sequence, offset))
                     offset += e - s
                 sequence += 1
             for at in range(0, len(out), 1024):
                 part = out[at : at + 1024]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([rows[r][1] if rows[r][0] else None for r, *_ in part], pa.int64()), pa.array([s for _, s, *_ in part], pa.int64()), pa.array([e - s for _, s, e, *_ in part], pa.int64()),
+                    pa.array([rows[r][1] if rows[r][0] else None for r, *_ in part], pa.int64()), pa.array([rows[r][3] + s for r, s, *_ in part], pa.int64()), pa.array([e - s for _, s, e, *_ in part], pa.int64()),
                     pa.array([ids[r][s:e].astype("<u4").tobytes() for r, s, e, *_ in part], pa.binary()), pa.array([rows[r][2] for r, *_ in part], pa.int64()), pa.array([p[3] for p in part], pa.int64()), pa.array([p[4] for p in part], pa.int64())],
                     ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    shards = deal(held, statistics, window).repartition(min(parts(held), TASKS), "shard").sortWithinPartitions("shard")
-    return shards.mapInArrow(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    piece = "doc_id long, start long, length long, ids binary, doc_tokens long"
+    shards = deal(rests, statistics, window).repartition(min(parts(held), TASKS), "shard").sortWithinPartitions("shard")
+    full = held.where(F.col("n") == window).mapInArrow(widen, piece)
+    # a row's number depends on the files of the staged table alone
+    full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return shards.mapInArrow(fill, f"{piece}, sequence_id long, offset long").unionByName(full)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
