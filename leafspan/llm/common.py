@@ -59,11 +59,27 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Shuffle files of what runs inside are deleted when it ends; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{folder(spark, 'stage')}/{name}"
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -124,13 +140,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     now = stage(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     for _ in range(rounds):
         # settled: every node has one parent and no parent has a parent
-        many = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-        deep = now.select("b").distinct().join(now.select("a").distinct(), F.col("a") == F.col("b"), "left_semi").limit(1)
-        if not many.select(F.lit(1)).union(deep.select(F.lit(1))).take(1):
+        with swept(now.sparkSession):
+            many = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+            deep = now.select("b").distinct().join(now.select("a").distinct(), F.col("a") == F.col("b"), "left_semi").limit(1)
+            settled = not many.select(F.lit(1)).union(deep.select(F.lit(1))).take(1)
+        if settled:
             break
         large = stage(star(now, True), "edges")
+        unstage(now, *used)
+        used.clear()
         after = stage(star(large, False), "edges")
-        unstage(now, large, *used)
+        unstage(large, *used)
         used.clear()
         now = after
     else:

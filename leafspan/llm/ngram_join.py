@@ -4,7 +4,7 @@ A document is the set of its word shingles.  Two documents link when
 ``100 * |A & B| >= percent * |A | B|``; components of links are returned.
 
 Method.  All shingles have one global order, rare before frequent, from a count
-sketch of fixed size over all documents.  A set of n shingles can lack at most
+sketch over all documents, which has more counters for more documents, up to a bound.  A set of n shingles can lack at most
 ``t = n - ceil(percent * n / 100)`` of its own in a partner.  Its prefix is
 extended, in that order, until the places it offers exceed t: a rare shingle is
 one place and is indexed alone; frequent shingles fall into groups by hash, and
@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import TASKS, blob_rows, components, parts, shared_dir, sliced, small, stage, unblob, unstage
+from .common import TASKS, blob_rows, components, input_bytes, parts, shared_dir, sliced, small, stage, swept, unblob, unstage
 
-#: Counters of the sketch that orders shingles; its size never grows.
-SKETCH_BITS = 20
+#: Counters of the sketch that orders shingles, at least and at most (as powers of two), and bytes of input for each: with more shingles a counter, rare ones could not be told from frequent ones.
+SKETCH_BITS, SKETCH_BITS_MOST, SKETCH_EACH = 20, 26, 512
 #: Estimated documents above which shingles are indexed in pairs, and in triples.
 FREQUENT, VERY_FREQUENT = 64, 4096
 #: Documents of a key up to which its pairs are taken; longer lists become stars.
@@ -63,32 +63,43 @@ def _sets(batch: pa.RecordBatch, k: int, text: str = "text"):
             yield at + i, np.unique(hashes[ends[i] - runs[i] : ends[i]])
 
 
+def sketch_bits(size: int) -> int:
+    """The sketch's counters, as a power of two, for so many bytes of input; unknown sizes get the least."""
+    return SKETCH_BITS if size >= 1 << 60 else min(max(SKETCH_BITS, (size // SKETCH_EACH).bit_length()), SKETCH_BITS_MOST)
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How often shingles occur, by the top bits of their hash, over all documents."""
-    per = 1 << 14
+    """How often shingles occur, by the top bits of their hash, over all documents; 65535 is that or more."""
+    per, bits = 1 << 14, sketch_bits(input_bytes(docs))
+
+    def planes(counts: np.ndarray) -> bytes:
+        """The counters' bytes, all lowest ones first: the others are nearly all 0 and pack well."""
+        return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total, any_ = np.zeros(1 << bits, np.uint32), False
         for batch in batches:
             data, offsets = ts.utf8(batch.column("text"))
-            for big, end in ts.blocks(offsets, 4 << 20):
-                found = [np.zeros(0, np.uint64)]
-                for at, to in ts.blocks(offsets[big : end + 1]):
-                    found.append(ts.shingles(*ts.word_hashes(*ts.bytes_slice(data, offsets, big + at, big + to)), k)[0])
-                total += np.bincount((np.concatenate(found) >> ts.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        rows = [(b, total[b * per : (b + 1) * per].astype("<u4").tobytes()) for b in range(len(total) // per)] if total.any() else []
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "counts"])
+            for at, to in ts.blocks(offsets):
+                found = ts.shingles(*ts.word_hashes(*ts.bytes_slice(data, offsets, at, to)), k)[0]
+                np.add.at(total, (found >> ts.U64(64 - bits)).astype(np.int64), np.uint32(1))
+                any_ |= len(found) > 0
+        for b in range(0, len(total) // per if any_ else 0, 64):
+            own = range(b, min(b + 64, len(total) // per))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([planes(total[i * per : (i + 1) * per]) for i in own], pa.binary())], ["b", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, counts in zip(batch.column("b").to_pylist(), batch.column("counts").to_pylist()):
-                sums[b] = sums.get(b, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["b", "counts"])
-
-    schema, out = "b int, counts binary", np.zeros(1 << SKETCH_BITS, np.int64)
-    for b, counts in docs.select("text").mapInArrow(count, schema).repartition("b").mapInArrow(add, schema).collect():
-        out[b * per : (b + 1) * per] = np.frombuffer(counts, "<i8")
+                own = np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+                sums[b] = sums.get(b, 0) + own.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 65535).astype("<u2").tobytes() for v in sums.values()], pa.binary())], ["b", "counts"])
+
+    schema, out = "b int, counts binary", np.zeros(1 << bits, np.uint16)
+    with swept(docs.sparkSession):
+        for b, counts in docs.select("text").mapInArrow(count, schema).repartition("b").mapInArrow(add, schema).collect():
+            out[b * per : (b + 1) * per] = np.frombuffer(counts, "<u2")
     return out
 
 
@@ -117,37 +128,59 @@ def _keys(tokens: np.ndarray, often: np.ndarray, missing: int, floor: int) -> li
     return out
 
 
-def _parity(tokens: np.ndarray) -> np.ndarray:
-    """One bit for each residue of the tokens: whether an odd number of them falls there; at least two bits a token.
+def _parity(tokens: np.ndarray, percent: int = 50) -> np.ndarray:
+    """One bit for each residue of the tokens: whether an odd number of them falls there; three bits at least for each token that may differ, two for each at most.
 
     The halves of a bitmap, one upon the other by exclusive or, are the bitmap of half the size.
     """
-    bits = 64 << max(0, (len(tokens) >> 5).bit_length())
+    differ = len(tokens) * 3 * (100 - percent) // (100 + percent)
+    bits = 64 << max(0, (differ >> 5).bit_length())
     odd = np.bincount((tokens >> ts.U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def _scan(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
-    """Rows with part -1: a document, its size and the hash of its set; others: packed (key, document) postings."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k).astype(np.uint32))
-    schema = "part int, doc_id long, n long, s1 long, s2 long, leader long, bits array<long>, blob binary"
+def _sums(tokens: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    return (int(np.bitwise_xor.reduce(tokens)), int(np.add.reduce(ts.mix(tokens)))) if len(tokens) else (0, 0)
+
+
+def _scan(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """A document, its size, the hash of its set, the first document of its batch with that set, and its bitmap."""
+    def scan(batches):
+        for batch in sliced(batches, "text", 8 << 20):
+            ids = batch.column("doc_id").to_pylist()
+            rows, seen = [], {}
+            for row, tokens in _sets(batch, k):
+                n, doc, (s1, s2) = len(tokens), ids[row], _sums(tokens)
+                rows.append((doc, n, s1, s2, _parity(tokens, percent)))
+                if n and doc is not None:
+                    seen.setdefault((s1, s2, n), doc)
+            as_long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), as_long([r[2] for r in rows]), as_long([r[3] for r in rows]), pa.array([seen.get((r[2], r[3], r[1]), r[0]) for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)), as_long(np.concatenate([np.zeros(0, np.uint64), *(r[4] for r in rows)])))],
+                                             ["doc_id", "n", "s1", "s2", "leader", "bits"])
+
+    return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, leader long, bits array<long>")
+
+
+def _postings(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
+    """Packed (key, document, size) postings by part, of one document for each set of a batch.
 
-    names = ["part", "doc_id", "n", "s1", "s2", "leader", "bits", "blob"]
+    The texts are read once more for them, so that they are shuffled without being stored before.
+    """
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
 
     def scan(batches):
         counts = sketch.value
-        noise = int(counts.mean())
+        noise, bits = int(counts.mean()), len(counts).bit_length() - 1
         for batch in sliced(batches, "text", 8 << 20):
             ids = batch.column("doc_id").to_pylist()
-            rows, keys, owners, sizes, seen = [], [], [], [], {}
+            keys, owners, sizes, seen = [], [], [], set()
             for row, tokens in _sets(batch, k):
-                n, doc = len(tokens), ids[row]
-                s1, s2 = int(np.bitwise_xor.reduce(tokens)) if n else 0, int(np.add.reduce(ts.mix(tokens))) if n else 0
-                rows.append((doc, n, s1, s2, _parity(tokens)))
-                if not n or doc is None or (s1, s2, n) in seen:
+                n, doc, sums = len(tokens), ids[row], _sums(tokens)
+                if not n or doc is None or (*sums, n) in seen:
                     continue
-                seen[s1, s2, n] = doc
-                often = np.maximum(counts[(tokens >> ts.U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) - noise, 0)
+                seen.add((*sums, n))
+                often = np.maximum(counts[(tokens >> ts.U64(64 - bits)).astype(np.int64)].astype(np.int64) - noise, 0)
                 order = np.lexsort((tokens, often))
                 tokens, often = tokens[order], often[order]
                 missing, band = n - -(-percent * n // 100), n.bit_length() - 1
@@ -156,15 +189,12 @@ def _scan(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
                         keys.append(ts.mix(key + ts.U64(b)))
                         owners.append(np.full(len(key), doc, np.int64))
                         sizes.append(np.full(len(key), n, np.int64))
-            as_long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), -1, np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), as_long([r[2] for r in rows]), as_long([r[3] for r in rows]), pa.array([seen.get((r[2], r[3], r[1]), r[0]) for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)), as_long(np.concatenate([np.zeros(0, np.uint64), *(r[4] for r in rows)]))), pa.nulls(len(rows), pa.binary())], names)
             if keys:
                 key = np.concatenate(keys)
                 blobs = list(blob_rows(key, [key, np.concatenate(owners), np.concatenate(sizes)], n_parts))
-                null = pa.nulls(len(blobs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), null, null, null, null, null, pa.nulls(len(blobs), pa.list_(pa.int64())), pa.array([b[1] for b in blobs], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], ["part", "blob"])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, "part int, blob binary")
 
 
 def key_edges(postings: DataFrame, percent: int) -> DataFrame:
@@ -341,23 +371,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_column
         raise ValueError("percent must lie between 50 and 100")
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     shared_dir(docs.sparkSession)
-    n_parts = parts(docs, 4 << 20)
-    scanned = stage(_scan(docs, k, percent, n_parts), "scan")
+    scanned = stage(_scan(docs, k, percent), "scan")
     # equal sets of a batch follow its leader, and leaders the first of them: no step meets all copies of a set at once
-    sets = scanned.where("part < 0").select("doc_id", "n", "s1", "s2", "leader")
+    sets = scanned.select("doc_id", "n", "s1", "s2", "leader")
     leaders = sets.where("n > 0 and leader = doc_id").select("leader", "n", "s1", "s2").distinct()
     classes = stage(leaders.groupBy("n", "s1", "s2").agg(F.min("leader").alias("rep")), "classes")
     reps = stage(leaders.join(classes, ["n", "s1", "s2"]).select("leader", "n", "s1", "s2", "rep"), "reps")
     led = sets.where("leader is not null").join(reps, ["leader", "n", "s1", "s2"], "left")
     alone = sets.where("leader is null").join(classes, ["n", "s1", "s2"], "left")
     members = stage(led.select("doc_id", "n", "rep").union(alone.select("doc_id", "n", "rep")).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    starred = edges = stage(key_edges(scanned.where("part >= 0").select("part", "blob"), percent), "edges")
+    unstage(classes, reps)
+    starred = edges = stage(key_edges(_postings(docs, k, percent, parts(docs, 4 << 20)), percent), "edges")
     moved = stage(members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "moved")
     hinted = small(moved)
     for c in ("a", "b"):
         edges = edges.join(hinted, edges[c] == hinted.doc_id, "left").withColumn(c, F.coalesce("rep", c)).select("a", "b", "star")
     edges = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
-    bits = scanned.where("part < 0").groupBy("doc_id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.countDistinct("s1", "s2").alias("sets"))
+    bits = scanned.groupBy("doc_id").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.countDistinct("s1", "s2").alias("sets"))
     x, y = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("sets").alias(f"sets{c}")) for c in "ab")
     # sizes that may link differ by less than a factor of two, so one fold makes bitmaps equally long
     half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
@@ -365,13 +395,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     apart = F.aggregate(F.zip_with(fit("bitsa", "bitsb"), fit("bitsb", "bitsa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
     near = edges.where("star = 0").join(x, "a").join(y, "b").where((apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) | (F.col("setsa") > 1) | (F.col("setsb") > 1))
     candidates = components(edges.where("star = 1").select("a", "b").union(near.select("a", "b")))
+    unstage(scanned, starred, moved)
     sizes = members.where("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n"))
     nodes = candidates.join(sizes, candidates.node == sizes.doc_id).select("node", "component", "n")
     # rows that share a doc_id are one node, so equal sets of different nodes are links too
     same = members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = members.groupBy("doc_id").agg(F.countDistinct("rep").alias("reps")).where("reps > 1").select("doc_id")
     found = components(_verified(docs, nodes, k, percent).union(same.join(repeated, same.a == repeated.doc_id, "left_semi")))
-    unstage(scanned, classes, reps, starred, moved)
     return (members.join(found, members.rep == found.node, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
 

@@ -1,8 +1,11 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafspan.llm import common, ngram_join, queries
 from tests.llm.conftest import union_find, words
@@ -113,3 +116,43 @@ def test_components(spark):
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: c for n, c in want.items() if n in got} and all(want[n] == n and list(want.values()).count(n) == 1 for n in set(want) - set(got))
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketch_grows_with_the_input(spark, monkeypatch):
+    assert ngram_join.sketch_bits(500_000_000) == 20 and ngram_join.sketch_bits(6_000_000_000) == 24 and ngram_join.sketch_bits(1 << 50) == ngram_join.SKETCH_BITS_MOST
+    rows = near_copies(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "sketch_bits", lambda size: 22)
+    counts = ngram_join._sketch(df, 3)
+    assert len(counts) == 1 << 22 and int(counts.sum()) == sum(max(1, len(t.split()) - 2) for _, t in rows if t.split())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(df, 3, 90).collect()} == brute(rows, 3, 90)
+
+
+def test_bitmaps_are_as_long_as_the_allowed_difference():
+    x = np.random.default_rng(1).integers(1, 1 << 62, 400).astype(np.uint64)
+    assert len(ngram_join._parity(x, 90)) == 2 and len(ngram_join._parity(x, 80)) == 8 and len(ngram_join._parity(x)) == 16
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files, names = disk.getAllFiles().iterator(), set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffles()
+    common.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
+def test_join_deletes_what_it_no_longer_reads(spark):
+    root = common.shared_dir(spark).removeprefix("file://")
+    staged = lambda: {(d, n) for d in os.listdir(root) if d.startswith("stage-") for n in os.listdir(f"{root}/{d}")}
+    before = staged()
+    ngram_join.ngram_jaccard_join(spark.createDataFrame(near_copies(), "doc_id long, text string"), 3, 90)
+    assert not {"scan", "classes", "reps", "moved"} & {n for _, n in staged() - before}
