@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspan.llm import decontaminate, langid, ngram_join, packing, pii
-from leafspan.llm.common import delete, folder, small, stage
+from leafspan.llm.common import delete, folder, small, stage, swept
 
 #: Score under which a text belongs to none of the learned languages.
 MIN_SCORE = 0.2
@@ -86,7 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES:
         written = folder(spark, f"pipeline-{name}")
-        function(spark, docs, sf_dir).write.parquet(written)
+        with swept(spark):
+            function(spark, docs, sf_dir).write.parquet(written)
         docs = spark.read.parquet(written)
         if before:
             delete(spark, before)
