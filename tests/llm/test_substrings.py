@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -7,6 +8,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from leafspan.llm import common
 from leafspan.llm import paragraph_dedup as pd6
 from leafspan.llm import suffix_dedup as sd
 from leafspan.llm import textscan as ts
@@ -227,3 +229,13 @@ def test_paragraph_dedup_defined_cases(edges, empty):
     found = {(r.doc_id, r.keep_doc_id, r.removed) for r in pd6.repeated_paragraphs(edges).collect()}
     assert found == {(None, None, False), (3, None, True), (4, None, True)}
     assert pd6.repeated_paragraphs(empty).count() == 0
+
+
+def test_paragraph_dedup_deletes_what_it_no_longer_reads(spark):
+    root = common.shared_dir(spark).removeprefix("file://")
+    staged = lambda: {(d, n) for d in os.listdir(root) if d.startswith("stage-") for n in os.listdir(f"{root}/{d}")}
+    before, passage = staged(), words(5, 60)
+    rows = [(1, passage + "\n" + words(6, 60)), (2, words(7, 60) + "\n" + passage), (3, words(8, 60))]
+    found = pd6.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not {"places", "classes", "nodes", "links", "clusters", "keep", "repeated"} & {n for _, n in staged() - before}
+    assert {(r.doc_id, r.removed) for r in found.collect()} == {(1, False), (2, True)}
